@@ -37,6 +37,23 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTER = "a-zß-öø-ÿ"
 
 
+class TwoAges(dict):
+    """A bounded cache: what was used since the last change of age, and what was used in the age before."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self[key] = self.old[key]
+        return value
+
+    def renew(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class CachedEncoder:
     """The tokenizers library's ids, with a bounded cache of pre-tokens in front of it.
 
@@ -46,18 +63,22 @@ class CachedEncoder:
     goes to the library whole, as does every text of a tokenizer that is built otherwise.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.most, self.cache = most, {}
+        self.cache = TwoAges(most)
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
-        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split == WORD_PATTERN
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split == WORD_PATTERN and bool(spec["model"].get("end_of_word_suffix")) and self.dtype.itemsize == 2
         self.safe = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
         self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+").findall
+        self.ends_word = np.zeros(1 << 16, bool)
+        if self.plain:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -65,24 +86,24 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian numbers of `dtype`."""
-        cache, out, odd = self.cache, [b""] * len(texts), []
-        for i, text in enumerate(texts):
-            if not (self.plain and self.safe.fullmatch(text)) or any(s in text for s in self.special):
-                odd.append(i)
-                continue
-            pieces = self.find(text.lower())
-            try:
-                out[i] = b"".join(map(cache.__getitem__, pieces))
-            except KeyError:
-                new = [p for p in set(pieces) if p not in cache]
-                if len(cache) + len(new) > self.most:
-                    cache.clear()
-                    new = list(set(pieces))
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    cache[p] = self._bytes(e.ids)
-                out[i] = b"".join(map(cache.__getitem__, pieces))
-        for i in odd:
-            out[i] = self._bytes(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+        cache, out, pieces = self.cache, [], []
+        for text in texts:
+            plain = self.plain and self.safe.fullmatch(text) and not any(s in text for s in self.special)
+            pieces.append(self.find(text.lower()) if plain else None)
+        cache.renew()
+        new = list(set().union(*(p for p in pieces if p)).difference(cache, cache.old))
+        # each pre-token ends with a piece that carries the word-end mark, so many are encoded as one line and cut there
+        lines = [new[k : k + 256] for k in range(0, len(new), 256)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            width, raw, start = self.dtype.itemsize, ids.tobytes(), 0
+            for p, end in zip(line, ends.tolist(), strict=True):
+                cache[p] = raw[start * width : end * width]
+                start = end
+        get = cache.__getitem__
+        for text, found in zip(texts, pieces, strict=True):
+            out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if found is None else b"".join(map(get, found)))
         return out
 
 
