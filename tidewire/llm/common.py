@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 1 << 20
 _MADE: list[tuple[SparkSession, str]] = []
@@ -240,3 +241,7 @@ def unit(*columns: str | Column, seed: int) -> Column:
 def extra_columns(df: DataFrame, *drop: str) -> DataFrame:
     """A document's columns under their own names, without those that an operator is about to add."""
     return df.drop(*[c for c in drop if c in df.columns])
+
+
+def wider(schema: StructType, ddl: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
+from .quality import op1_quality
 from .token_files import op10_token_files
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op4_language_id": op4_language_id,
     "op10_token_files": op10_token_files,
 }
 
