@@ -128,10 +128,18 @@ def gumbel_top_k(weighed: DataFrame, k: int | None = None, *, floor: float = -0.
     return keyed.withColumn("kept", F.coalesce((F.col("gumbel_key") > edge) | (at_edge & (rank <= left)), F.lit(False)))
 
 
-def with_target(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """Marks documents that labels call good (quality 1, toxic not 1). A document with several labels needs all of them good."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)), F.lit(False))).alias(name))
-    return common.extra_columns(docs, name).join(good, "doc_id", "left")
+def with_target(docs: DataFrame, labels: DataFrame, name: str, target_rows: int = 200_000) -> DataFrame:
+    """Marks documents that labels call good (quality 1, toxic not 1). A document with several labels needs all of them good.
+
+    The target is a sample of about `target_rows` good documents at most (all of them, if there are no more), so
+    their ids are a broadcast of known size and no text is shuffled.
+    """
+    fine = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(fine, F.lit(False))).alias(name)).where(name)
+    n = good.count()
+    if n > target_rows:
+        good = good.where(common.unit("doc_id", seed=11) < target_rows / n)
+    return common.extra_columns(docs, name).join(F.broadcast(good), "doc_id", "left")
 
 
 def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, **how: float) -> DataFrame:
