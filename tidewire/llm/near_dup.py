@@ -8,9 +8,10 @@ probability of their weighted Jaccard similarity. Documents that agree in a whol
 weighted Jaccard on the whole sets decides.
 
 Groups are never expanded. Texts with the same words are one class from the start. In each band's bucket every
-member is compared with one leader (another for each band); members that aren't linked with it are compared with
-those of the bucket outside their own component, after a comparison of the samples alone. Links
-between different texts that share a bucket are so all found, or lie within a component already.
+member is compared with one leader (another for each band, and for each of `rounds` more rounds in buckets that still hold
+several components); members apart from a bucket's largest component are then compared with those of the bucket outside
+their own component, after a comparison of the samples alone. Links between different texts that share a
+bucket are so all found, or lie within a component already.
 
 Defined results: a document without words (null or empty text) is a class of its own; a document of fewer than
 five words has one shingle of all of them; rows with a null doc_id take no part and don't appear; rows
@@ -181,7 +182,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k:
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12, per_band: int = 4, k: int = SHINGLE, strength: float = STRENGTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12, per_band: int = 4, k: int = SHINGLE, strength: float = STRENGTH, rounds: int = 3) -> DataFrame:
     """A row for each doc_id: component_id (the smallest doc_id of its class) and kept (it is that one)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = Idf(count_shingles(docs, k), docs.count(), strength)
@@ -207,20 +208,37 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12,
     first = links(star)
     same = members.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     found = components(first.select("a", "b"))
-    # who isn't in the component of a bucket's head meets the bucket's members of other components
-    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-    placed = in_bucket.join(of("doc_id"), "doc_id", "left").join(of("head"), "head", "left")
-    placed = placed.select("band", "key", "doc_id", F.coalesce("c_doc_id", "doc_id").alias("c"), (F.coalesce("c_doc_id", "doc_id") != F.coalesce("c_head", "head")).alias("apart"))
-    placed = common.written(placed, "placed")
-    apart = placed.where("apart").select("band", "key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
+    linked = first.select("a", "b")
+    # buckets whose members are in several components get other heads, round by round ...
+    for turn in range(1, rounds + 1):
+        placed = _placed(in_bucket, found)
+        drawn = F.xxhash64("doc_id", "band", F.lit(turn))
+        heads_now = placed.groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "c"), F.struct(drawn, "doc_id")).alias("h"))
+        in_bucket = placed.select("band", "key", "doc_id")
+        met = placed.join(heads_now, ["band", "key"]).where("c <> h.c")
+        more = links(met.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b")).distinct())
+        linked = common.written(linked.unionByName(more.select("a", "b")), "near-links")
+        found = components(linked)
+    # ... and what is apart from the largest component of its bucket after them meets all members of other components
+    placed = _placed(in_bucket, found)
+    sizes = placed.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    apart = placed.join(sizes, ["band", "key"]).where("c <> main").select("band", "key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
     rest = apart.join(placed, ["band", "key"]).where("cx <> c").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     second = links(rest)
-    found = components(first.select("a", "b").unionByName(second.select("a", "b")).unionByName(same.where("a <> b")))
+    found = components(linked.unionByName(second.select("a", "b")).unionByName(same.where("a <> b")))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     out = ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _placed(in_bucket: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, key, doc_id, c: its component) of the buckets that hold several components."""
+    each = in_bucket.select("band", "key", "doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
+    each = common.written(each.select("band", "key", "doc_id", F.coalesce("c", "doc_id").alias("c")), "placed")
+    mixed = each.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
+    return common.written(each.join(mixed, ["band", "key"]), "mixed")
+
+
 def _repeated(signed: DataFrame) -> bool:
     n = signed.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     return n[0] != n[1]
