@@ -17,6 +17,7 @@ repeated task replaces it with the same bytes.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -107,6 +108,12 @@ class CachedEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> CachedEncoder:
+    """One for each Python worker: its cache serves the worker's later tasks too."""
+    return CachedEncoder(path)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
@@ -220,7 +227,7 @@ def write_token_files(
     edges = np.array(bounds, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = CachedEncoder(tokenizer_path), None
+        encoder, end = encoder_of(tokenizer_path), None
         end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
             ids, texts = b.column("doc_id").cast(pa.int64()), common.strings(b.column("text"))
@@ -230,7 +237,7 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays([pa.array(shard[lo:hi]), ids[lo:hi], pa.array(coded, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = CachedEncoder(tokenizer_path).dtype
+        dtype = encoder_of(tokenizer_path).dtype
         done: list[tuple[int, int, int]] = []
         now: _ShardWriter | None = None
         for b in batches:
