@@ -7,11 +7,12 @@ weighted sampling draws `bands` * `per_band` samples of each set; two sets agree
 probability of their weighted Jaccard similarity. Documents that agree in a whole band are candidates, and
 weighted Jaccard on the whole sets decides.
 
-Groups are never expanded. Texts with the same words are one class from the start. In each band's bucket every
-member is compared with one leader (another for each band, and for each of `rounds` more rounds in buckets that still hold
-several components); members apart from a bucket's largest component are then compared with those of the bucket outside
-their own component, after a comparison of the samples alone. Links between different texts that share a
-bucket are so all found, or lie within a component already.
+Groups are never expanded. Texts with the same words are one class from the start. First every member of a bucket is
+compared with one leader, the one whose buckets hold the most, then in `rounds` more rounds with one drawn of
+its bucket, as long as its buckets hold several components. Members apart from a bucket's largest component then meet
+members of other components on the rarest shingles that they can share, which misses no pair alike enough. The exact
+comparison follows a comparison of the samples alone. Links between different texts that share a bucket are so all found,
+or lie within a component already.
 
 Defined results: a document without words (null or empty text) is a class of its own; a document of fewer than
 five words has one shingle of all of them; rows with a null doc_id take no part and don't appear; rows
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -182,7 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k:
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12, per_band: int = 4, k: int = SHINGLE, strength: float = STRENGTH, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12, per_band: int = 4, k: int = SHINGLE, strength: float = STRENGTH, rounds: int = 1) -> DataFrame:
     """A row for each doc_id: component_id (the smallest doc_id of its class) and kept (it is that one)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = Idf(count_shingles(docs, k), docs.count(), strength)
@@ -194,9 +195,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12,
     texts = docs.join(heads.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null")
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeated(signed) else texts
     rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    mark = F.xxhash64("doc_id", "band")
-    buckets = rows.groupBy("band", "key").agg(F.min(F.struct(mark.alias("m"), "doc_id")).getField("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    in_bucket = common.written(rows.join(buckets.select("band", "key", "head"), ["band", "key"]), "buckets")
+    buckets = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = common.written(rows.join(buckets, ["band", "key"]), "buckets")
+    # how many share a document's buckets: greatest for the text that the others of a group come from
+    middle = shared.groupBy("doc_id").agg(F.sum("n").alias("mid"))
+    in_bucket = common.written(shared.select("band", "key", "doc_id").join(middle, "doc_id"), "buckets")
     least = int(threshold * bands * per_band - 5.0 * math.sqrt(threshold * (1 - threshold) * bands * per_band))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -204,26 +207,23 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12,
         both = a.join(heads.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         return common.written(_verified(_alike(both, least), texts, idf, threshold, k), "near-links")
 
-    star = in_bucket.where("doc_id <> head").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    first = links(star)
     same = members.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    found = components(first.select("a", "b"))
-    linked = first.select("a", "b")
-    # buckets whose members are in several components get other heads, round by round ...
-    for turn in range(1, rounds + 1):
-        placed = _placed(in_bucket, found)
-        drawn = F.xxhash64("doc_id", "band", F.lit(turn))
-        heads_now = placed.groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "c"), F.struct(drawn, "doc_id")).alias("h"))
-        in_bucket = placed.select("band", "key", "doc_id")
-        met = placed.join(heads_now, ["band", "key"]).where("c <> h.c")
-        more = links(met.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b")).distinct())
-        linked = common.written(linked.unionByName(more.select("a", "b")), "near-links")
+    linked = found = None
+    # a member meets one of the heads of its buckets, round by round, while its buckets hold several components ...
+    for turn in range(rounds + 1):
+        in_bucket = placed = _placed(in_bucket, found)
+        drawn = F.xxhash64("doc_id", F.lit(turn))
+        rank = F.struct(-F.col("mid"), drawn, "doc_id") if turn == 0 else F.struct(F.lit(0).cast("long"), drawn, "doc_id")
+        heads_now = placed.withColumn("rank", rank).groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "c", "rank"), "rank").alias("h"))
+        met = placed.join(heads_now, ["band", "key"]).where("c <> h.c").groupBy("doc_id").agg(F.min_by("h.doc_id", "h.rank").alias("head"))
+        more = links(met.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()).select("a", "b")
+        linked = more if linked is None else common.written(linked.unionByName(more), "near-links")
         found = components(linked)
-    # ... and what is apart from the largest component of its bucket after them meets all members of other components
+    # ... and what is apart from the largest component of a bucket after them meets members of other components by rare shingles
     placed = _placed(in_bucket, found)
     sizes = placed.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    apart = placed.join(sizes, ["band", "key"]).where("c <> main").select("band", "key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    rest = apart.join(placed, ["band", "key"]).where("cx <> c").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    apart = placed.join(sizes, ["band", "key"]).where("c <> main").select("doc_id").distinct()
+    rest = _prefix_pairs(placed.select("doc_id", "c").distinct(), apart, texts, idf, threshold, k)
     second = links(rest)
     found = components(linked.unionByName(second.select("a", "b")).unionByName(same.where("a <> b")))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
@@ -231,10 +231,53 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12,
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _placed(in_bucket: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, key, doc_id, c: its component) of the buckets that hold several components."""
-    each = in_bucket.select("band", "key", "doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
-    each = common.written(each.select("band", "key", "doc_id", F.coalesce("c", "doc_id").alias("c")), "placed")
+def _prefix_pairs(nodes: DataFrame, apart: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k: int) -> DataFrame:
+    """(a, b): every pair alike enough of one of `apart` and one of `nodes` (doc_id, c) of another c, and few others.
+
+    The shingles of a document are put in order, those of the fewest `nodes` first. Sets of weights x and y that are alike
+    enough share t / (1 + t) * (x + y) at least, so the first shingle they share comes, in either, before that
+    much is left. Pairs so meet on it alone; the sizes are part of the key, in steps of `wide`, as the bound depends on them.
+    """
+    model = nodes.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = common.strings(batch.column("text"))
+            for lo, hi in common.slices(text):
+                h, first = common.Words(text[lo:hi]).shingles(k)
+                own = [np.unique(h[first[d] : first[d + 1]], return_counts=True) for d in range(hi - lo)]
+                each = [model.value.weights(u, n) for u, n in own]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[lo:hi], batch.column("c")[lo:hi], pa.array([w.sum() for w in each], pa.float64()), pa.array([u.view(np.int64) for u, _ in own], pa.list_(pa.int64())), pa.array(each, pa.list_(pa.float64()))],
+                    ["doc_id", "c", "whole", "shingle", "w"],
+                )
+
+    wide, part = 1.04, threshold / (1.0 + threshold)
+    reach = math.ceil(-math.log(threshold) / math.log(wide))
+    sets = texts.join(nodes, "doc_id").select("doc_id", "c", "text").mapInArrow(run, "doc_id long, c long, whole double, shingle array<long>, w array<double>")
+    sets = common.written(sets.select("doc_id", "c", "whole", F.explode(F.arrays_zip("shingle", "w")).alias("z")).select("doc_id", "c", "whole", "z.shingle", "z.w"), "shingles")
+    often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = Window.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sets.join(often, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("before", F.coalesce(F.sum("w").over(ordered), F.lit(0.0)))
+    early = placed.where((F.col("n") > 1) & (F.col("before") <= F.col("whole") * (1.0 - threshold + 1e-6)))
+    size = F.floor(F.log("whole") / math.log(wide))
+    other = F.filter(F.sequence(size - reach, size + reach), lambda s: F.col("before") <= F.col("whole") * (1.0 + 1e-6) - part * (F.col("whole") + F.pow(F.lit(wide), s)))
+    early = early.select("doc_id", "c", "whole", "before", "shingle", size.alias("size"), F.explode(other).alias("other"))
+    early = common.written(early.select("doc_id", "c", "whole", "before", "shingle", F.least("size", "other").alias("lo"), F.greatest("size", "other").alias("hi"), "size"), "prefixes")
+    x, y = early.join(apart, "doc_id", "left_semi").alias("x"), early.alias("y")
+    least = part * (F.col("x.whole") + F.col("y.whole"))
+    near = (F.col("x.before") <= F.col("x.whole") * (1.0 + 1e-6) - least) & (F.col("y.before") <= F.col("y.whole") * (1.0 + 1e-6) - least)
+    same_key = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.size") + F.col("y.size") == F.col("x.lo") + F.col("x.hi"))
+    met = x.join(y, same_key & (F.col("x.c") != F.col("y.c")) & near)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def _placed(in_bucket: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(band, key, doc_id, mid, c: its component) of the buckets that hold several components."""
+    if found is None:
+        return in_bucket.withColumn("c", F.col("doc_id"))
+    each = in_bucket.drop("c").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
+    each = common.written(each.withColumn("c", F.coalesce("c", "doc_id")), "placed")
     mixed = each.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
     return common.written(each.join(mixed, ["band", "key"]), "mixed")
 
