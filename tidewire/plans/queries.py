@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lex
+from ..functions import pages, render, summary
 from ..functions import score as sc
 from ..functions import text as tx
-from ..operators import audit, ranking, similarity, tables
+from ..operators import audit, leaders, ranking, similarity, tables
 from ..sources.tables import stories, table, with_times
-from ..streaming import emission, windows
+from ..streaming import emission, event_memory, windows
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '')"
 
@@ -418,3 +419,65 @@ def fresh_stories(spark: SparkSession, d: str) -> DataFrame:
     rows = with_times(table(spark, d, "documents").select(F.col("doc_id").alias("id")), e).withColumn("t", F.col("effective_at").cast("timestamp"))
     age = F.floor((F.unix_micros(now) - F.unix_micros("t")) / 1_000_000 / 60)
     return rows.where(F.col("t") >= now - F.expr("INTERVAL 690 HOUR")).select("id", age.cast("long").alias("age_minutes"))
+
+
+# ---------------------------------------------------------------- groups, event memory, messages
+
+
+@query(None)
+def leader_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in groups around the earliest of them; the tests hold the operator against a walk in order."""
+    titles = _titles(spark, d).where(F.size("tokens") >= 3)
+    links = leaders.cut(similarity.similar_pairs(titles, 0.8).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return leaders.groups(titles.select("id"), links)
+
+
+@query(None)
+def event_memory_run(spark: SparkSession, d: str) -> DataFrame:
+    """All stories through an empty event memory in order of their number; the titles' long words stand for entities."""
+    none = F.array().cast("array<string>")
+    words = F.filter(tx.token_set(F.col("title")), lambda w: F.length(w) >= 9)
+    s = stories(spark, d).select(
+        F.col("id").cast("string").alias("id"), F.col("id").cast("long").alias("seq"), "source", *(F.lit(False).alias(c) for c in ("discovery", "dev", "reaction")),
+        words.alias("entities"), tx.token_set(F.col("title")).alias("tokens"), tx.token_set(F.col("title")).alias("title_tokens"), tx.numbers(F.col("title")).alias("numbers"),
+        *(none.alias(c) for c in ("places", "actions", "core", "impact", "storms", "magnitudes")),
+    )
+    return event_memory.remember(s, event_memory.Memory.empty(spark))[0].select("id", "status", "event_id", F.round("score", 6).alias("score"), "reason")
+
+
+def _sql_escaped(text: str) -> str:
+    return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_MESSAGE = f"'NEWS' || chr(10) || chr(10) || '<b>' || {_sql_escaped('head')} || '</b>' || chr(10) || chr(10) || {_sql_escaped("array_to_string(s[1:k], ' ')")} || chr(10) || chr(10) || 'Source: ' || conv_id"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE turn <= 4) AS s, 'Conversation ' || conv_id AS head FROM (SELECT conv_id, turn, left(text, 60) AS text FROM conversations WHERE text IS NOT NULL) GROUP BY 1),
+ k AS (SELECT *, unnest(range(2, len(s) + 1)) AS k FROM c), m AS (SELECT conv_id, k, {_MESSAGE} AS message FROM k),
+ v AS (SELECT *, length(regexp_replace(regexp_replace(message, '<[^>]+>', '', 'g'), '&(amp|lt|gt|quot|#[0-9]+);', 'x', 'g')) AS n FROM m)
+ SELECT conv_id, max_by(message, k) AS message, CAST(max_by(n, k) AS INTEGER) AS shown FROM v WHERE n <= 220 GROUP BY 1""")
+def messages_under_budget(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").where("text is not null and turn <= 4").select("conv_id", "turn", F.left("text", F.lit(60)).alias("text"))
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    name = F.col("conv_id").cast("string")
+    made = render.message(F.lit("NEWS"), F.concat(F.lit("Conversation "), name), F.col("t.text"), name, F.lit(None).cast("string"), 220)
+    return ordered.select("conv_id", made.alias("message")).where("message is not null").withColumn("shown", tx.visible_length(F.col("message")))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS s FROM conversations), p AS (SELECT conv_id, turn, unnest(list_filter([
+ CASE WHEN s = '' THEN 'empty' END, CASE WHEN s <> '' AND len(regexp_extract_all(lower(s), '[a-z0-9]+')) < 4 THEN 'short' END, CASE WHEN s <> '' AND NOT regexp_matches(s, '[.!?…]["''”’)]*$') THEN 'open_end' END,
+ CASE WHEN (length(s) - length(replace(s, '"', ''))) % 2 = 1 OR length(replace(s, '“', '')) <> length(replace(s, '”', '')) THEN 'quotes' END,
+ CASE WHEN lower(regexp_extract(s, '([A-Za-z]+)[^A-Za-z]*$', 1)) IN ('a', 'an', 'the', 'of', 'in', 'on', 'at', 'to', 'for', 'and', 'or', 'but', 'by', 'with', 'near', 'from', 'into') THEN 'dangling' END,
+ CASE WHEN regexp_matches(s, '^[a-z]') THEN 'lower_start' END, CASE WHEN regexp_matches(s, '[A-Z]{2}') AND s = upper(s) THEN 'shouting' END, CASE WHEN regexp_matches(s, '(?i)(https?://|www\.)') THEN 'link' END], lambda x: x IS NOT NULL)) AS problem FROM t)
+ SELECT problem, count(*) AS n FROM p GROUP BY 1""")
+def sentence_problems(spark: SparkSession, d: str) -> DataFrame:
+    found = summary.problems(F.col("text"), F.lit(None).cast("string"))
+    return table(spark, d, "conversations").select(F.explode(found).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract(url, '^(https?://[^?#]+/)', 1) AS folder, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages)
+ SELECT DISTINCT page_id, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN link WHEN starts_with(link, '/') THEN root || link WHEN length(folder) > length(root) + 1 THEN folder || link ELSE root || '/' || link END AS target
+ FROM l WHERE root <> '' AND NOT (regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(link, '(?i)^https?://')) AND NOT starts_with(link, '//')""")
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link")).where(~F.startswith("link", F.lit("//")))
+    return links.select("page_id", pages.resolve(F.col("link"), F.col("url")).alias("target")).where("target is not null").distinct()
