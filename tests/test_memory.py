@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import leaders
+from tidewire.operators import leaders, matching
 from tidewire.streaming import event_memory as em
 
 STORY = "id string, seq long, source string, discovery boolean, dev boolean, reaction boolean, " + ", ".join(f"{s} array<string>" for s in em.SETS)
@@ -64,6 +64,45 @@ def test_a_run_sees_its_own_events(spark):
     assert {r.source for r in after.sources.where("event_id = 's1'").collect()} == set("ABCD")
 
 
+def walk(rows, pairs):
+    """Statuses by a plain walk; pairs: (id, event_id) -> score of every match, whatever the order."""
+    events, facts, sources, out = [], {}, {}, {}
+    for r in rows:
+        mine = {f"{k}:{x}" for k in em.FACTS for x in r[k]}
+        found = [(-pairs[r["id"], e], e) for e in events if (r["id"], e) in pairs]
+        if not found:
+            new = not r["discovery"] or any(r[k] for k in ("core", "impact", "places", "entities"))
+            out[r["id"]] = ("NEW", r["id"]) if new else ("HELD", None)
+            if new:
+                events.append(r["id"])
+                facts[r["id"]], sources[r["id"]] = mine, {r["source"]}
+            continue
+        e = min(found)[1]
+        more = mine - facts[e] and r["source"] not in sources[e]
+        out[r["id"]] = ("UPDATE" if more else "DUPLICATE", e)
+        facts[e] |= mine
+        sources[e].add(r["source"])
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_a_run_is_a_walk_in_order(spark, seed):
+    rng = random.Random(seed)
+    some = lambda words, most: sorted(rng.sample(words, rng.randint(0, most)))
+    made = [
+        story(f"s{k:02}", k, rng.choice("ABCDE"), rng.random() < 0.3, places=some(["chile", "peru"], 1), core=some(["flood", "quake"], 1), tokens=some(list("abcdef"), 4),
+              entities=some(["roe", "poe", "doe"], 2), impact=some(["9:killed", "12:killed", "3:missing"], 2), numbers=some(["7", "80"], 1))
+        for k in range(70)
+    ]
+    rows = spark.createDataFrame(made, STORY)
+    own = rows.select(F.col("id").alias("event_id"), *em.SETS)
+    pairs = {(r.id, r.event_id): r.score for r in matching.matches(rows, own).collect()}
+    decisions, _ = em.remember(rows, em.Memory.empty(spark))
+    want = walk([r.asDict() for r in rows.collect()], pairs)
+    assert {r.id: (r.status, r.event_id) for r in decisions.collect()} == want
+    assert {s for s, _ in want.values()} >= {"NEW", "UPDATE", "DUPLICATE"}
+
+
 def test_stream_in_parts_equals_one_run(spark, tmp_path):
     rows = quakes(spark).drop("event_id").where("id is not null").orderBy("seq").collect()
     schema = quakes(spark).drop("event_id").schema

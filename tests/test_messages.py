@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import pages, render, summary
+from tidewire.operators import ranking
 
 
 def one(spark, column):
@@ -56,3 +57,12 @@ def test_sentences(spark):
     assert not one(spark, summary.paraphrases(F.lit("Floods hit 12 northern towns."), F.lit("Flood hits northern town")))
     assert one(spark, summary.verified(F.lit("12 died."), F.lit("Officials: 12 died. Rain fell.")))
     assert not one(spark, summary.verified(F.lit("13 died."), F.lit("Officials: 12 died.")))
+
+
+def test_top_sentences(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, "Rain fell."), (1, 1, "It killed 12 in Chile."), (1, 2, "rain fell"), (1, 3, "About 7 of 90 left."), (1, 4, "!!"), (2, 0, "Only one."), (3, 0, None)],
+        "id long, pos int, sentence string",
+    )
+    got = [(r.id, r.rank, r.pos) for r in ranking.top_sentences(rows, "id", 2).orderBy("id", "rank").collect()]
+    assert got == [(1, 1, 3), (1, 2, 1), (2, 1, 0)]
