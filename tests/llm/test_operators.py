@@ -162,6 +162,32 @@ def test_substrings(spark, odd, empty):
     assert substring_dup.dedup_substrings(odd).count() == len(ODD) and substring_dup.dedup_substrings(empty).count() == 0
 
 
+def test_chunks_follow_their_own_text():
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), int(n))) for n in rng.integers(1, 8, 60)) for _ in range(200)] + ["", "a", " b", "word " * 200]
+    alone = [substring_dup.Chunks(pa.array([t]), 3).digest.tolist() for t in texts]
+    for order in (np.arange(len(texts)), rng.permutation(len(texts))):
+        c = substring_dup.Chunks(pa.array([texts[k] for k in order]), 3)
+        assert [c.digest[c.row == r].tolist() for r in range(len(order))] == [alone[k] for k in order]
+
+
+def test_substrings_in_any_order(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), int(k))) for k in rng.integers(1, 8, n))
+    passage = prose(60)
+    rows = [(k, f"{prose(25)} {passage} {prose(25)}" if k % 3 == 0 else prose(60)) for k in range(300)]
+    rows += [(400, prose(60)), (400, f"{passage} {prose(30)}"), (400, f"{passage} {prose(30)}")]  # one id, several texts
+    cut = lambda rows, n: sorted((r.doc_id, r.text, r.removed_words) for r in substring_dup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect())
+    got = cut(rows, 1)
+    assert got == cut(rows[::-1], 7)
+    old = sorted(rows)
+    assert all(g[1] == t for g, (k, t) in zip(got, old, strict=True) if k % 3 and k < 400)
+    for g, (k, t) in zip(got, old, strict=True):
+        if k % 3 == 0 and 0 < k < 400:  # nothing but the passage goes
+            assert 18 <= g[2] <= 60 and g[1].split()[:25] == t.split()[:25] and g[1].split()[-25:] == t.split()[-25:]
+    assert rows[300] in [g[:2] for g in got]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16)).astype(np.float32)

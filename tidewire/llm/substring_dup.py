@@ -31,12 +31,16 @@ _GEAR = np.random.default_rng(31337).integers(0, 1 << 32, 256, dtype=np.uint64).
 _GEAR[[9, 10, 11, 12, 13]] = _GEAR[32]  # how lines are broken doesn't matter
 
 
-def gear(raw: np.ndarray) -> np.ndarray:
-    """The rolling hash at each byte: sum of gear[byte] << distance, over the last 16 bytes."""
+def gear(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The rolling hash at each byte: sum of gear[byte] << distance, over the last 16 bytes of its own row. off: first byte of each row, and the end."""
     h = _GEAR[raw]
     width = 1
     while width < WINDOW:
+        near = off[:-1, None] + np.arange(width)
+        near = near[near < off[1:, None]]  # what stands `width` bytes before these is another row's
+        own = h[near]
         h[width:] += h[:-width].copy() << np.uint32(width)
+        h[near] = own
         width *= 2
     return h & np.uint32(0xFFFF)
 
@@ -60,12 +64,15 @@ def chunk_ends(values: np.ndarray, rows: np.ndarray, radius: int) -> np.ndarray:
 
 
 class Chunks:
-    """The chunks of a block of documents: first and last word (exclusive), digest, and row."""
+    """The chunks of a block of documents: first and last word (exclusive), digest, row, and again: the digest stands earlier in its row.
+
+    All but the numbering of words and rows follows a row's own text alone.
+    """
 
     def __init__(self, texts: pa.Array, radius: int):
         self.words = w = common.Words(texts, table=common.NOT_SPACE, lower=False)
         n = len(w.starts)
-        last = np.flatnonzero(chunk_ends(gear(w.raw)[w.ends - 1] if n else np.zeros(0, np.uint32), w.rows, radius)) + 1
+        last = np.flatnonzero(chunk_ends(gear(w.raw, w.off)[w.ends - 1] if n else np.zeros(0, np.uint32), w.rows, radius)) + 1
         first = np.concatenate([[0], last[:-1]]) if n else last
         long_ = last - first > LONGEST
         if long_.any():
@@ -75,10 +82,13 @@ class Chunks:
         self.first, self.last = first, last
         self.digest = common.mix(common.sums_over(w.hashes, first, last, 0x9FB21C651E98DF25, pow(0x9FB21C651E98DF25, -1, 1 << 64)) + (last - first).astype(np.uint64)).view(np.int64)
         self.row = np.searchsorted(w.rows, first, side="right") - 1
+        order = np.lexsort((np.arange(len(self.row)), self.digest, self.row))
+        self.again = np.zeros(len(self.row), bool)
+        self.again[order[1:]] = (self.digest[order[1:]] == self.digest[order[:-1]]) & (self.row[order[1:]] == self.row[order[:-1]])
 
 
 def chunks(docs: DataFrame, radius: int) -> DataFrame:
-    """(digest, doc_id, n: the chunk's place in its document, again: it stands earlier in the document)."""
+    """(digest, doc_id, again: it stands earlier in the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,35 +96,34 @@ def chunks(docs: DataFrame, radius: int) -> DataFrame:
             for lo, hi in common.slices(texts):
                 c = Chunks(texts[lo:hi], radius)
                 if len(c.row):
-                    order = np.lexsort((np.arange(len(c.row)), c.digest, c.row))
-                    again = np.zeros(len(c.row), bool)
-                    again[order[1:]] = (c.digest[order[1:]] == c.digest[order[:-1]]) & (c.row[order[1:]] == c.row[order[:-1]])
-                    place = np.arange(len(c.row)) - np.searchsorted(c.row, c.row)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.digest), pa.array(ids[lo:hi][c.row]), pa.array(place.astype(np.int32)), pa.array(again)], ["digest", "doc_id", "n", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.digest), pa.array(ids[lo:hi][c.row]), pa.array(c.again)], ["digest", "doc_id", "again"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "digest long, doc_id long, n int, again boolean")
+    return rows.mapInArrow(run, "digest long, doc_id long, again boolean")
 
 
 def cut(docs: DataFrame, repeats: DataFrame, radius: int, min_words: int) -> DataFrame:
-    """Documents without the runs of chunks that repeats (doc_id, places: array of int) tells."""
-    docs = common.extra_columns(docs, "removed_words", "removed_spans", "places")
+    """Documents without the runs of repeated chunks: those in repeats (doc_id, _digests: array of long), and those that stand earlier in their row.
+
+    Documents that aren't in repeats stay as they are.
+    """
+    docs = common.extra_columns(docs, "removed_words", "removed_spans", "_digests")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, places = b.column("text"), b.column("places").to_pylist()
+            texts, digests = b.column("text"), b.column("_digests").to_pylist()
             new, words_out, spans_out = [], [], []
-            hit = [k for k, p in enumerate(places) if p]
+            hit = [k for k, p in enumerate(digests) if p is not None]
             done: dict[int, tuple[str, int, list]] = {}
             some = common.strings(texts.take(pa.array(hit, pa.int64()))) if hit else None
             for lo, hi in common.slices(some) if hit else ():
                 c = Chunks(some[lo:hi], radius)
                 bounds = np.searchsorted(c.row, np.arange(hi - lo + 1))
                 for d in range(hi - lo):
-                    first, last = c.first[bounds[d] : bounds[d + 1]], c.last[bounds[d] : bounds[d + 1]]
-                    own = np.unique(np.array(places[hit[lo + d]], np.int64))
-                    own = own[own < len(first)]
+                    its = slice(bounds[d], bounds[d + 1])
+                    first, last = c.first[its], c.last[its]
+                    own = np.flatnonzero(c.again[its] | np.isin(c.digest[its], np.array(digests[hit[lo + d]], np.int64)))
                     runs = np.split(own, np.flatnonzero(np.diff(own) > 1) + 1)
                     runs = [(first[r[0]], last[r[-1]]) for r in runs if len(r) and last[r[-1]] - first[r[0]] >= min_words]
                     if runs:
@@ -150,11 +159,11 @@ def dedup_substrings(docs: DataFrame, *, radius: int = 3, min_words: int = 18) -
     """Documents with repeats cut out."""
     found = common.written(chunks(docs.select("doc_id", "text"), radius), "chunks")
     several = found.where("not again").groupBy("digest").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("most")).where("origin < most").select("digest", "origin")
-    elsewhere = found.where("not again").join(several, "digest").where("doc_id > origin").select("doc_id", "n")
-    # a place repeated within a document is one as a whole text is read: a digest with an origin elsewhere marks all its places
-    within = found.where("again").select("doc_id", "n")
-    places = elsewhere.unionByName(within).groupBy("doc_id").agg(F.collect_list("n").alias("places"))
-    return cut(docs, places, radius, min_words)
+    elsewhere = found.where("not again").join(several, "digest").where("doc_id > origin").select("doc_id", "digest")
+    # cut() finds what stands earlier in a row by itself, so of these only the doc_id is told: collect_list leaves nulls out
+    within = found.where("again").select("doc_id", F.lit(None).cast("long").alias("digest"))
+    repeats = elsewhere.unionByName(within).groupBy("doc_id").agg(F.collect_list("digest").alias("_digests"))
+    return cut(docs, repeats, radius, min_words)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
