@@ -246,6 +246,16 @@ def test_rollups(spark, tmp_path):
         store.apply("b4", make([("what", "s", "en", "v", 1, None)]))
 
 
+def test_near_dup_stage_on_odd_ids(spark, odd, empty):
+    rng = np.random.default_rng(6)
+    one, two, three = (" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(80)) for _ in range(3))
+    more = [(20, one, "en", "s", 0, "x"), (21, one + " end", "en", "s", 0, "x"), (20, two, "en", "s", 0, "x"), (None, two + " end", "en", "s", 0, "x"), (None, three, "en", "s", 0, "x"), (None, three, "en", "s", 0, "x")]
+    stage = lambda docs: sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.near_dup_stage(spark, docs, SF).collect())))
+    want = {(r[0], r[1]) for r in ODD} | {(20, one), (20, two), (None, three)}
+    assert stage(odd.unionByName(spark.createDataFrame(more, DOC))) == sorted(map(str, want))
+    assert stage(empty) == []
+
+
 def test_pipeline(spark):
     docs = common.documents(spark, SF)
     cut = corpus_pipeline.substring_stage(spark, docs, SF)
