@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import pages, render, summary
 from tidewire.operators import ranking
+from tidewire.plans.queries import QUERIES
 
 
 def one(spark, column):
@@ -32,6 +33,20 @@ def test_cut_text(spark, text, limit, want):
     assert one(spark, render.cut_text(F.lit(text), limit)) == want
 
 
+def test_paragraphs(spark):
+    html = """<style>p{margin:0}</style><pre>no</pre><article><p>one <b>two</b> three</p><P class="x"><b>four
+    five<br><p>six</p><p>seven <i>eight</i></article><footer>no</footer>"""
+    assert one(spark, pages.paragraphs(F.lit(html))) == ["one two three", "four five", "six", "seven eight"]
+    assert one(spark, pages.paragraphs(F.lit("<p>open <b>end"))) == ["open end"]
+
+
+def test_article_paragraphs_counts_whole_texts(spark, tmp_path):
+    rows = [(1, "<p><b>a paragraph that starts with a tag and goes on</b> after it</p>"), (2, "<p>short <b>but</b> long enough with all that stands behind it</p>"), (3, "<p>short</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["article_paragraphs"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 55), (2, 1, 52)]
+
+
 def test_media(spark):
     html = """<meta property="og:image" content="/logo.png"><IMG src="a.jpg" width="400" height="300"><img src='//c.org/b.jpg' width="800" height="600">
     <img src="small.jpg" width="10" height="10"><img src="data:x"><video src="v.mp4"></video>"""

@@ -1,10 +1,12 @@
-"""Pictures and videos of a web page, as arrays of candidates; built-in functions only."""
+"""Paragraphs, pictures and videos of a web page, as arrays; built-in functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean
+
 UNWANTED = r"(?i)(logo|icon|avatar|sprite|pixel|badge|placeholder|advert)"
 
 
@@ -22,6 +24,12 @@ def resolve(link: Column, base: Column) -> Column:
     return out.otherwise(F.concat(F.when(F.length(folder) > F.length(root) + 1, folder).otherwise(F.concat(root, F.lit("/"))), link))
 
 
+def paragraphs(html: Column) -> Column:
+    """Array of the paragraphs' whole texts without tags; each goes to its end tag, or to the next paragraph or the article's end where that is missing."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<p(?=[\s>])[^>]*>(.*?)(?=</p\s*>|<p[\s>]|</article\s*>|</body\s*>|\z)"), F.lit(1))
+    return F.transform(found, clean)
+
+
 def media(html: Column, base: Column) -> Column:
     """Array of (kind, origin, url, width, height): what the page names in its head, its pictures, its videos; null page: null."""
     tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?i)(<{name}\b[^>]*>)"), F.lit(1))

@@ -362,7 +362,7 @@ def quote_attribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT page_id, count(*) AS paragraphs, CAST(sum(length(p)) AS BIGINT) AS chars FROM (SELECT page_id, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '<p>([^<]*)', 1)), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM pages) WHERE length(p) >= 40 GROUP BY 1""")
 def article_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1))).alias("p")).withColumn("p", tx.clean(F.col("p")))
+    rows = table(spark, d, "pages").select("page_id", F.explode(pages.paragraphs(F.col("html"))).alias("p"))
     return rows.where(F.length("p") >= 40).groupBy("page_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("p")).cast("long").alias("chars"))
 
 
