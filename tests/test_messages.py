@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import pages, render, summary
+from tidewire.functions import text as tx
 from tidewire.operators import ranking
 from tidewire.plans.queries import QUERIES
 
@@ -28,6 +29,24 @@ def test_message(spark):
     assert one(spark, render.message(none, F.lit("H"), texts("A.", "B."), none, F.lit(""), 99)) == "<b>H</b>\n\nA. B."
 
 
+def test_messages_take_whole_texts_of_all_turns(spark, tmp_path):
+    long = "This first sentence is longer than sixty characters, so that a cut would show at once. Second <one>. Third."
+    rows = [(1, 1, long), (1, 2, "Fourth."), (2, 5, "Late one. Late two."), (3, 1, "Only one."), (4, 6, "B & b."), (4, 2, "A."), (4, 7, "word " * 60 + "end. More."), (5, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["messages_under_budget"](spark, str(tmp_path)).collect()}
+    body = lambda k: got[k].message.split("\n\n")[2]
+    assert set(got) == {1, 2, 4} and body(1) == long.replace("<one>", "&lt;one&gt;") + " Fourth." and body(2) == "Late one. Late two." and body(4) == "A. B &amp; b."
+
+
+@pytest.mark.parametrize("budget", range(20, 90, 7))
+def test_message_takes_the_most_that_fits(spark, budget):
+    parts = ["A & b.", "日本 x.", "<i>.", "Four five six.", "&amp;.", "Seven."]
+    whole = lambda k: render.message(F.lit("NEWS"), F.lit("H"), texts(*parts[:k]), F.lit("Wire"), F.lit(None).cast("string"), 999)
+    fit = [k for k in range(2, 7) if one(spark, tx.visible_length(whole(k))) <= budget]
+    if fit:
+        assert one(spark, render.message(F.lit("NEWS"), F.lit("H"), texts(*parts), F.lit("Wire"), F.lit(None).cast("string"), budget)) == one(spark, whole(fit[-1]))
+
+
 @pytest.mark.parametrize(("text", "limit", "want"), [("Ab cd. Ef gh. Ij", 14, "Ab cd. Ef gh"), ("short", 9, "short"), ("many words in here", 12, "many words…"), ("", 5, "")])
 def test_cut_text(spark, text, limit, want):
     assert one(spark, render.cut_text(F.lit(text), limit)) == want

@@ -38,5 +38,9 @@ def message(label: Column, headline: Column, sentences: Column, source: Column,
         return F.concat_ws("\n\n", escape_html(some(label)), F.concat(F.lit("<b>"), escape_html(some(headline)), F.lit("</b>")), escape_html(paragraph), F.concat(F.lit("Source: "), escape_html(some(source))), link)
 
     lead = lambda k: F.array_join(F.slice(sentences, 1, k), " ")
-    most = _largest(F.lit(LEAST), F.size(sentences), lambda k: visible_length(whole(lead(k))) <= budget)
-    return F.when(F.size(sentences) >= LEAST, F.when(most.isNotNull(), whole(lead(most))).otherwise(whole(cut_text(lead(F.lit(LEAST)), budget))))
+    # what is shown adds up: the rest of the message, the sentences, and a blank between two of them
+    room = F.lit(budget) - visible_length(whole(F.lit("")))
+    shown = F.transform(sentences, lambda s: F.coalesce(visible_length(escape_html(s)), F.lit(-1)))  # a null sentence has no blank either
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("chars"))
+    most = F.aggregate(shown, start, lambda a, c: F.struct((a.n + (a.chars + c + 1 <= room).cast("int")).alias("n"), (a.chars + c + 1).alias("chars"))).n
+    return F.when(F.size(sentences) >= LEAST, F.when(most >= LEAST, whole(lead(most))).otherwise(whole(cut_text(lead(F.lit(LEAST)), budget))))

@@ -457,10 +457,10 @@ _MESSAGE = f"'NEWS' || chr(10) || chr(10) || '<b>' || {_sql_escaped('head')} ||
  v AS (SELECT *, length(regexp_replace(regexp_replace(message, '<[^>]+>', '', 'g'), '&(amp|lt|gt|quot|#[0-9]+);', 'x', 'g')) AS n FROM m)
  SELECT conv_id, max_by(message, k) AS message, CAST(max_by(n, k) AS INTEGER) AS shown FROM v WHERE n <= 220 GROUP BY 1""")
 def messages_under_budget(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").where("text is not null and turn <= 4").select("conv_id", "turn", F.left("text", F.lit(60)).alias("text"))
-    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    turns = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", tx.sentences(F.col("text")).alias("s"))
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("t"))
     name = F.col("conv_id").cast("string")
-    made = render.message(F.lit("NEWS"), F.concat(F.lit("Conversation "), name), F.col("t.text"), name, F.lit(None).cast("string"), 220)
+    made = render.message(F.lit("NEWS"), F.concat(F.lit("Conversation "), name), F.flatten("t.s"), name, F.lit(None).cast("string"), 220)
     return ordered.select("conv_id", made.alias("message")).where("message is not null").withColumn("shown", tx.visible_length(F.col("message")))
 
 
