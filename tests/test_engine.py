@@ -104,6 +104,13 @@ def test_stream_equals_table(spark, tmp_path):
     assert {tuple(r) for r in spark.table("w").collect()} == want
 
 
+def test_titles_are_duplicates_as_a_whole(spark, tmp_path):
+    rows = [(1, "Storm hits coast.", "a"), (2, "Storm hits inland.", "b"), (3, "STORM -- hits coast!", "b"), (4, "Storm hits inland.", "b"), (5, "Storm hits coast.", "a")]
+    spark.createDataFrame([(*r, "en", len(r[1])) for r in rows], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["cross_source_title_dedup"](spark, str(tmp_path)).collect())
+    assert got == [(1, False), (2, False), (3, True), (4, False), (5, True)]
+
+
 @pytest.mark.parametrize("name", ["corroboration_selfjoin", "topic_argmax", "importance_rank", "source_concentration", "cross_source_title_dedup", "session_windows", "coverage_grouping_sets"])
 def test_against_sql(spark, name):
     con = duckdb.connect()

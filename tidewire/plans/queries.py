@@ -248,7 +248,7 @@ def purge_retention(spark: SparkSession, d: str) -> DataFrame:
 @query(S + """, k AS (SELECT id, source, left(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 8) AS key FROM stories), f AS (SELECT *, first_value(source) OVER (PARTITION BY key ORDER BY id) AS fs FROM k)
  SELECT id, coalesce(max(CASE WHEN source <> fs THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY id) = 1, false) AS duplicate FROM f""")
 def cross_source_title_dedup(spark: SparkSession, d: str) -> DataFrame:
-    k = stories(spark, d).select("id", "source", F.left(tx.norm_title(F.col("title")), F.lit(8)).alias("key"))
+    k = stories(spark, d).select("id", "source", tx.norm_title(F.col("title")).alias("key"))
     return tables.cross_source_duplicates(k, "key", "source", "id").select("id", "duplicate")
 
 
