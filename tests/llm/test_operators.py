@@ -119,6 +119,14 @@ def brute_components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_languages_grow_by_penalty_alone():
+    scores = np.full((205, 5), -30.0)
+    scores[np.arange(200), np.arange(200) % 5] = 0.0  # one document of five languages in equal parts, and one of the last alone
+    scores[200:, 4] = 0.0
+    share = language_id.infer(scores, np.array([0, 200, 205]), 1.5)
+    assert np.allclose(share, [[0.2] * 5, [0, 0, 0, 0, 1]], atol=0.01)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}

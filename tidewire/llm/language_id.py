@@ -99,8 +99,8 @@ def _mixture(like: np.ndarray, start: np.ndarray, rounds: int) -> tuple[np.ndarr
     return share, np.add.reduceat(np.log((like * share[row]).sum(axis=1)), start)
 
 
-def infer(scores: np.ndarray, rows: np.ndarray, penalty: float, rounds: int = 12, most: int = 3) -> np.ndarray:
-    """Proportions of languages for each document; zero for one without words.
+def infer(scores: np.ndarray, rows: np.ndarray, penalty: float, rounds: int = 12) -> np.ndarray:
+    """Proportions of languages for each document; zero for one without words. A set grows as long as a language is worth its penalty.
 
     scores: log-likelihood of each word by language. rows: first word of each document, and the end.
     """
@@ -117,7 +117,7 @@ def infer(scores: np.ndarray, rows: np.ndarray, penalty: float, rounds: int = 12
     best = total[np.arange(len(some)), chosen[:, 0]]
     share[some, chosen[:, 0]] = 1.0
     open_ = np.arange(len(some))
-    while len(open_) and chosen.shape[1] < min(most, langs):
+    while len(open_) and chosen.shape[1] < langs:
         # the language that gains most: what it adds to words that the set explains badly
         word = np.concatenate([np.arange(start[k], start[k] + count[k]) for k in open_])
         first = np.concatenate([[0], np.cumsum(count[open_])[:-1]])
