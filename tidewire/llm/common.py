@@ -23,10 +23,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not now.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = now.get() if now.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidewire-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(set_dir)
@@ -60,7 +62,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of `written` that nothing reads any more: their successors are written themselves."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            remove_path(df.sparkSession, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +197,17 @@ class Words:
         return out[0], out[1]
 
 
+def distinct_by_row(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each row in order, how often each stands there, and where each row's start. first: each row's first value, and the end."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return h[at], np.diff(np.append(at, len(h))), np.searchsorted(row[at], np.arange(len(first)))
+
+
 # ---------------------------------------------------------------- sums of vectors
 
 VECTOR = "block int, salt int, counts binary"

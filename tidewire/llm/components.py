@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of `links` (a, b: long) reaches. Nodes without links don't appear.
 
     Alternates two steps: every node hands the least of its neighbours to the greater ones, then to the smaller
@@ -17,7 +17,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """
     edges = common.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     last = None
-    for _ in range(most):
+    while True:
         # large star: greater neighbours of a node move to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -25,12 +25,11 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         # small star: a node and its smaller neighbours move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = common.written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        before, edges = edges, common.written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        common.discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"links still change after {most} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -1,8 +1,8 @@
 """Near-duplicate documents by improved consistent weighted sampling (operator 8).
 
 Each document is a weighted set of five-word shingles: weight = occurrences * idf, where idf falls from 1
-for a shingle of one document to 1 / (1 + `strength`) for one of all. Document frequencies are counted over all documents
-in a table of `sketch` counters, from which what chance puts into a counter is taken off. Improved consistent
+for a shingle of one document to 1 / (1 + `strength`) for one of all (why it isn't steeper: README). Document frequencies are counted
+over all documents in a table of counters, more of them the more documents there are, from which what chance puts into a counter is taken off. Improved consistent
 weighted sampling draws `bands` * `per_band` samples of each set; two sets agree in a sample with the
 probability of their weighted Jaccard similarity. Documents that agree in a whole band are candidates, and
 weighted Jaccard on the whole sets decides.
@@ -16,7 +16,8 @@ or lie within a component already.
 
 Defined results: a document without words (null or empty text) is a class of its own; a document of fewer than
 five words has one shingle of all of them; rows with a null doc_id take no part and don't appear; rows
-that share a doc_id are one node (their texts' classes meet); an empty table gives no rows.
+that share a doc_id are compared each by its own text, and what any of them is linked with belongs to that doc_id's group; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from . import common
 from .components import components
 
 SHINGLE = 5
-SKETCH = 1 << 18
 STRENGTH = 0.25
 
 
@@ -98,7 +98,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / whole) if whole > 0 else 0.0
 
 
-def count_shingles(docs: DataFrame, k: int = SHINGLE, sketch: int = SKETCH) -> np.ndarray:
+def sketch_size(n_docs: int) -> int:
+    """Counters: 2**18 up to a million documents, then in proportion to the square root of their number, 2**22 at most."""
+    return 1 << min(22, 18 + max(0, math.ceil(math.log2(max(1, n_docs) / 1e6) / 2)))
+
+
+def count_shingles(docs: DataFrame, k: int = SHINGLE, sketch: int = 1 << 18) -> np.ndarray:
     """Documents by counter of their distinct shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +111,8 @@ def count_shingles(docs: DataFrame, k: int = SHINGLE, sketch: int = SKETCH) -> n
         for b in batches:
             texts = common.strings(b.column("text"))
             for lo, hi in common.slices(texts):
-                h, first = common.Words(texts[lo:hi]).shingles(k)
-                for d in range(hi - lo):
-                    own = np.unique(h[first[d] : first[d + 1]])
-                    np.add.at(total, (own % np.uint64(sketch)).astype(np.int64), 1)
+                own, _, _ = common.distinct_by_row(*common.Words(texts[lo:hi]).shingles(k))
+                total += np.bincount((own % np.uint64(sketch)).astype(np.int64), minlength=sketch)
         yield from common.vector_rows(total, common.task_salt())
 
     return common.sum_vectors(docs.select("text").mapInArrow(count, common.VECTOR), sketch)
@@ -128,7 +131,8 @@ def sign(docs: DataFrame, idf: Idf, bands: int, per_band: int, k: int = SHINGLE)
             texts = common.strings(b.column("text"))
             for lo, hi in common.slices(texts):
                 words = common.Words(texts[lo:hi])
-                h, first = words.shingles(k)
+                h, times, first = common.distinct_by_row(*words.shingles(k))
+                w = weigh(h, times)
                 one, two = words.sequence()
                 sigs, keys, none = [], [], np.diff(words.rows) == 0
                 for d in range(hi - lo):
@@ -136,8 +140,7 @@ def sign(docs: DataFrame, idf: Idf, bands: int, per_band: int, k: int = SHINGLE)
                         sigs.append(None)
                         keys.append(None)
                         continue
-                    own, times = np.unique(h[first[d] : first[d + 1]], return_counts=True)
-                    s = samples(own, weigh(own, times), n)
+                    s = samples(h[first[d] : first[d + 1]], w[first[d] : first[d + 1]], n)
                     sigs.append((s >> np.uint64(32)).astype("<u4").tobytes())
                     keys.append(common.mix((s.reshape(bands, per_band) * lift).sum(axis=1, dtype=np.uint64) * np.uint64(2) + salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -183,23 +186,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k:
     return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12, per_band: int = 4, k: int = SHINGLE, strength: float = STRENGTH, rounds: int = 1) -> DataFrame:
-    """A row for each doc_id: component_id (the smallest doc_id of its class) and kept (it is that one)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    idf = Idf(count_shingles(docs, k), docs.count(), strength)
+def near_duplicates(docs: DataFrame, **how: float) -> DataFrame:
+    """A row for each doc_id: component_id (the smallest doc_id of its class) and kept (it is that one). how: see `grouped`."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    found = grouped(docs, **how) if rows == ids else _of_repeated(docs, **how)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _of_repeated(docs: DataFrame, **how: float) -> DataFrame:
+    """(doc_id, component_id) where several rows share a doc_id: rows are grouped by their texts, then groups that share a doc_id meet."""
+    keyed = common.written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    found = grouped(keyed.select(F.col("_key").alias("doc_id"), "text"), **how).toDF("_key", "c")
+    of = common.written(keyed.select("doc_id", "_key").join(found, "_key").select("doc_id", "c").distinct(), "row-groups")
+    first = of.groupBy("doc_id").agg(F.min("c").alias("first"))
+    met = components(of.join(first, "doc_id").select(F.col("c").alias("a"), F.col("first").alias("b")).where("a <> b"))
+    of = common.written(of.join(met.toDF("c", "whole"), "c", "left").select("doc_id", F.coalesce("whole", "c").alias("c")).distinct(), "row-groups")
+    least = of.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return of.join(least, "c").select("doc_id", "component_id")
+
+
+def _by_bucket(placed: DataFrame, of_bucket: DataFrame, part: int = 512) -> DataFrame:
+    """Joins what is known of each bucket (band, key, n, ...) to its members; a long bucket is dealt out by `part` members."""
+    parts = F.ceil(F.col("n") / part)
+    many = of_bucket.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    return placed.withColumn("_part", F.pmod(F.xxhash64("doc_id"), parts)).join(many, ["band", "key", "_part"]).drop("_part")
+
+
+def grouped(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12, per_band: int = 4, k: int = SHINGLE, strength: float = STRENGTH, rounds: int = 1) -> DataFrame:
+    """(doc_id, component_id: the smallest doc_id of its class) for rows (doc_id: long, each once; text)."""
+    n_docs = docs.count()
+    idf = Idf(count_shingles(docs, k, sketch_size(n_docs)), n_docs, strength)
     signed = common.written(sign(docs, idf, bands, per_band, k), "signatures")
     classes = signed.where("sig is not null").groupBy("text_a", "text_b").agg(F.min("doc_id").alias("leader"))
-    members = common.written(signed.where("sig is not null").select("doc_id", "text_a", "text_b").join(classes, ["text_a", "text_b"]).select("doc_id", "leader").distinct(), "members")
+    members = common.written(signed.where("sig is not null").select("doc_id", "text_a", "text_b").join(classes, ["text_a", "text_b"]).select("doc_id", "leader"), "members")
     # one signature and one text of each class
-    heads = common.written(signed.join(classes, ["text_a", "text_b"]).where("doc_id = leader").dropDuplicates(["text_a", "text_b"]).select("doc_id", "sig", "keys"), "heads")
-    texts = docs.join(heads.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeated(signed) else texts
+    heads = common.written(signed.join(members.where("doc_id = leader").select("doc_id"), "doc_id", "left_semi").select("doc_id", "sig", "keys"), "heads")
+    texts = docs.join(heads.select("doc_id"), "doc_id", "left_semi")
     rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = common.written(rows.join(buckets, ["band", "key"]), "buckets")
     # how many share a document's buckets: greatest for the text that the others of a group come from
     middle = shared.groupBy("doc_id").agg(F.sum("n").alias("mid"))
-    in_bucket = common.written(shared.select("band", "key", "doc_id").join(middle, "doc_id"), "buckets")
+    in_bucket = common.written(shared.select("band", "key", "n", "doc_id").join(middle, "doc_id"), "buckets")
+    common.discard(signed, shared)
     least = int(threshold * bands * per_band - 5.0 * math.sqrt(threshold * (1 - threshold) * bands * per_band))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -214,21 +244,19 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, bands: int = 12,
         in_bucket = placed = _placed(in_bucket, found)
         drawn = F.xxhash64("doc_id", F.lit(turn))
         rank = F.struct(-F.col("mid"), drawn, "doc_id") if turn == 0 else F.struct(F.lit(0).cast("long"), drawn, "doc_id")
-        heads_now = placed.withColumn("rank", rank).groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "c", "rank"), "rank").alias("h"))
-        met = placed.join(heads_now, ["band", "key"]).where("c <> h.c").groupBy("doc_id").agg(F.min_by("h.doc_id", "h.rank").alias("head"))
+        heads_now = placed.withColumn("rank", rank).groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "c", "rank"), "rank").alias("h"), F.max("n").alias("n"))
+        met = _by_bucket(placed, heads_now).where("c <> h.c").groupBy("doc_id").agg(F.min_by("h.doc_id", "h.rank").alias("head"))
         more = links(met.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()).select("a", "b")
         linked = more if linked is None else common.written(linked.unionByName(more), "near-links")
         found = components(linked)
     # ... and what is apart from the largest component of a bucket after them meets members of other components by rare shingles
     placed = _placed(in_bucket, found)
-    sizes = placed.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    apart = placed.join(sizes, ["band", "key"]).where("c <> main").select("doc_id").distinct()
+    sizes = placed.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).groupBy("band", "key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("n").alias("n"))
+    apart = _by_bucket(placed, sizes).where("c <> main").select("doc_id").distinct()
     rest = _prefix_pairs(placed.select("doc_id", "c").distinct(), apart, texts, idf, threshold, k)
     second = links(rest)
     found = components(linked.unionByName(second.select("a", "b")).unionByName(same.where("a <> b")))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    out = ids.join(found, ids.doc_id == found.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return docs.select("doc_id").join(found.toDF("doc_id", "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _prefix_pairs(nodes: DataFrame, apart: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k: int) -> DataFrame:
@@ -273,18 +301,13 @@ def _prefix_pairs(nodes: DataFrame, apart: DataFrame, texts: DataFrame, idf: Idf
 
 
 def _placed(in_bucket: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(band, key, doc_id, mid, c: its component) of the buckets that hold several components."""
+    """(band, key, n, doc_id, mid, c: its component) of the buckets that hold several components."""
     if found is None:
         return in_bucket.withColumn("c", F.col("doc_id"))
     each = in_bucket.drop("c").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
     each = common.written(each.withColumn("c", F.coalesce("c", "doc_id")), "placed")
-    mixed = each.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-    return common.written(each.join(mixed, ["band", "key"]), "mixed")
-
-
-def _repeated(signed: DataFrame) -> bool:
-    n = signed.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return n[0] != n[1]
+    mixed = each.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n")).where("lo <> hi").select("band", "key", "n")
+    return common.written(_by_bucket(each, mixed), "mixed")
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
