@@ -2,15 +2,18 @@
 
 Two generative models over hashed n-grams (words and marks, one and two at a time, in `buckets` buckets) are
 estimated: one from target texts, one from all raw texts. A document's log importance weight is the sum over
-its n-grams of ln p_target - ln p_raw. Documents are sampled without replacement in proportion to their
-weights by the Gumbel top-k rule: the k largest of weight / temperature + Gumbel noise are kept. The noise depends on
-doc_id and `seed` alone. k is given, or is the number of documents whose weight is at least
-`floor` a token: those that the target model doesn't find less likely than raw text by more than that.
+its n-grams of ln p_target - ln p_raw; as such sums grow with a text's length, documents are compared by the weight for each
+n-gram (the logarithm of a geometric mean). They are sampled without replacement by the Gumbel top-k rule: the k largest of
+weight an n-gram / `temperature` + Gumbel noise are kept, which draws in proportion to exp(weight an n-gram / temperature). The noise
+depends on doc_id and `seed` alone. k is given, or a `share` of the documents with n-grams, or the number of documents whose
+weight an n-gram is at least `floor`: those that the target model doesn't find less likely than raw text by more than that.
+Ranking, k and temperature so have one scale: at the default temperature of 0.01 two documents whose weights differ by 0.01 an n-gram
+have odds of e to 1, so who is kept is drawn near the k-th place and certain far from it.
 
 Defined results: a null or empty text has weight 0 and is not kept (there is nothing to train on);
-a null doc_id gets the noise of 0; ties at the k-th place go to the smaller doc_id, and rows that share doc_id
-and weight are ranked one by one; an empty table, or no target text, gives weight 0 everywhere. Columns of
-the input are passed on; log_weight, gumbel_key and kept replace ones of the same name.
+a null doc_id gets the noise of 0; of rows with equal keys at the k-th place (they share doc_id and weight) some are taken one by one;
+an empty table, or no target text, gives weight 0 everywhere. Columns of
+the input are passed on; log_weight, n_grams, gumbel_key and kept replace ones of the same name.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 18
+FLOOR, TEMPERATURE = -0.02, 0.01
 _MARKS = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
@@ -110,22 +114,26 @@ def kth_largest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tuple
             k -= r.n
 
 
-def gumbel_top_k(weighed: DataFrame, k: int | None = None, *, floor: float = -0.02, temperature: float = 1.0, seed: int = 1) -> DataFrame:
+def gumbel_top_k(weighed: DataFrame, k: int | None = None, *, share: float | None = None, floor: float = FLOOR, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
     """Adds gumbel_key and kept to rows with doc_id, log_weight and n_grams."""
     noise = -F.log(-F.log(common.unit(F.coalesce(F.col("doc_id"), F.lit(0)), seed=seed)))
-    keyed = weighed.withColumn("gumbel_key", F.when(F.col("n_grams") > 0, F.col("log_weight") / temperature + noise))
+    mean = F.col("log_weight") / F.col("n_grams")
+    keyed = weighed.withColumn("gumbel_key", F.when(F.col("n_grams") > 0, mean / temperature + noise))
     some = keyed.where("n_grams > 0")
+    total, above = some.agg(F.count(F.lit(1)), F.count_if(mean >= floor)).first()
     if k is None:
-        k = some.where(F.col("log_weight") >= floor * F.col("n_grams")).count()
-    if k <= 0 or k >= some.count():
+        k = above if share is None else round(share * total)
+    if k <= 0 or k >= total:
         return keyed.withColumn("kept", (F.col("n_grams") > 0) & F.lit(k > 0))
     edge, left = kth_largest(some.select("gumbel_key"), k, "gumbel_key")
-    equal = some.where(F.col("gumbel_key") == edge)
-    if equal.count() == left:
-        return keyed.withColumn("kept", F.coalesce(F.col("gumbel_key") >= edge, F.lit(False)))
     at_edge = F.coalesce(F.col("gumbel_key") == edge, F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(at_edge, F.when(~at_edge, F.xxhash64("doc_id"))).orderBy("doc_id"))
-    return keyed.withColumn("kept", F.coalesce((F.col("gumbel_key") > edge) | (at_edge & (rank <= left)), F.lit(False)))
+    above_edge = F.coalesce(F.col("gumbel_key") > edge, F.lit(False))
+    if some.where(F.col("gumbel_key") == edge).count() == left:
+        return keyed.withColumn("kept", above_edge | at_edge)
+    # rows that equal the k-th are taken by number: a second search, no sort of what may be a third of all rows
+    keyed = common.written(keyed.withColumn("_row", F.monotonically_increasing_id().cast("double")), "quality")
+    last, _ = kth_largest(keyed.where(at_edge).select((-F.col("_row")).alias("_row")), left, "_row")
+    return keyed.withColumn("kept", above_edge | (at_edge & (F.col("_row") <= -last))).drop("_row")
 
 
 def with_target(docs: DataFrame, labels: DataFrame, name: str, target_rows: int = 200_000) -> DataFrame:
