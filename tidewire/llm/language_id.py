@@ -1,15 +1,16 @@
 """Language identification as inference of a mixture of languages (operator 4).
 
 Training counts byte n-grams (1 to 4 bytes, within words and their edges, hashed into `buckets`) for every
-language of the training rows. A word's likelihood under a language is the product of its n-grams'. For
-each document, expectation-maximisation estimates the proportions in which the languages of a set produced
+language of the training rows. A word's likelihood under a language is the product of its n-grams', raised to 1 / 4, as each
+byte is told four times, by n-grams that overlap. For each document, expectation-maximisation estimates the proportions in which the languages of a set produced
 its words; sets grow by one language at a time while the log-likelihood gains more than `penalty` * ln(words)
 (a Bayesian information criterion), so most documents end with one language.
 
 Defined results: a text that is null, empty or without a letter gets `und`, score 0 and no proportions; so
 does every text if nothing could be learned. Ties go to the language that sorts first. Repeated rows each
 get their own prediction. Other columns are passed on by `predict`; columns that it adds replace ones
-of the same name. Very long texts are scored whole, at a cost in proportion to their length.
+of the same name. Very long texts are scored whole, at a cost in proportion to their length. At most `most` labels are learned,
+the most frequent ones: a bound for labels that are dirty, half a megabyte of counters each.
 """
 
 from __future__ import annotations
@@ -56,12 +57,13 @@ def _grams(words: common.Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def train(rows: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, buckets: int = BUCKETS, most: int = 512) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities by bucket. rows: text, lang (null: not learned from).
 
     What comes to the driver is a number for each language and bucket.
     """
-    langs = sorted(r.lang for r in rows.select("lang").where(F.col("lang").isNotNull()).distinct().collect())
+    often = rows.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    langs = sorted(r.lang for r in often.collect())
     if not langs:
         return [], np.zeros((0, buckets), np.float32)
     size = len(langs) * buckets
@@ -78,7 +80,7 @@ def train(rows: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
                 total += np.bincount((grams + (code[lo:hi][row] * buckets)[:, None]).ravel(), minlength=size)
         yield from common.vector_rows(total, common.task_salt())
 
-    counted = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, common.VECTOR)
+    counted = rows.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, common.VECTOR)
     counts = common.sum_vectors(counted, size).reshape(len(langs), buckets).astype(np.float64)
     smooth = counts + 0.5
     return langs, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -165,7 +167,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, penalty: float
                     each = table[grams[:, 0]]
                     for k in range(1, 4):
                         each += table[grams[:, k]]
-                    share = infer(np.add.reduceat(each, first[:-1], axis=0), words.rows, penalty)
+                    share = infer(np.add.reduceat(each, first[:-1], axis=0) / 4, words.rows, penalty)
                 letter = _ASCII_LETTER[words.raw]
                 has = np.add.reduceat(np.append(letter, 0), words.off[:-1]) > 0 if len(letter) else np.zeros(n, bool)
                 has &= np.diff(words.off) > 0
