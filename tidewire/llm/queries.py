@@ -10,7 +10,7 @@ from .nearest import op5_nearest
 from .quality import op1_quality
 from .sentencepiece_io import op2_sentencepiece
 from .substring_dup import op3_substring_dedup
-from .token_counts import OP7_SQL, op7_token_counts
+from .token_counts import op7_token_counts
 from .token_files import op10_token_files
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL = {"op6_mixing": OP6_SQL, "op7_token_counts": OP7_SQL}
+ORACLE_SQL = {"op6_mixing": OP6_SQL}
