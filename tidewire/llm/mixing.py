@@ -7,9 +7,12 @@ take is missing at the node above, where the node's own siblings have had it off
 that many whole epochs of its documents and a prefix of the next: documents in the order of a hash of seed, epoch and
 doc_id, as long as their tokens fit.
 
-The order is never sorted for a whole leaf: tokens are summed by leaf and by 4,096 ranges of the hash, and
-only the range in which a budget ends is looked at row by row. A leaf comes down to one bound on the hash, and
-every document decides by it alone, so a source with a third of all rows is no special case.
+The order is never sorted for a whole leaf: tokens are summed by leaf and by 256 ranges of the hash, then by 256 ranges within
+the one range of each leaf in which its budget ends, and so on, until such ranges hold few enough rows to be looked at one by
+one. A leaf comes down to one bound on the hash, and every document decides by it alone, so a source with a third of all rows
+is no special case, and no task gets more of it for its being larger.
+
+Tokens are the runs of anything but white space, or what the caller gives; a column n_tokens of the input is taken where `tokens` names it.
 
 Defined results: a null lang or source is a leaf of its own (an empty name); a null or empty text has 0 tokens and
 comes with its leaf's prefix if its place in the order is within it; a null doc_id is ordered as an empty one; rows that share a doc_id in a
@@ -84,47 +87,63 @@ def place(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def plan(slim: DataFrame, weights: dict[str, dict[str, float]], total: int | None = None, share: float = 0.8, max_epochs: int = 3, seed: int = 1) -> DataFrame:
-    """For (domain, lang, source, doc_id, n_tokens): a row for each leaf with budget, whole (epochs) and bound (the last place taken in the next)."""
-    leaves = common.written(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), "leaves")
+def _small(of_leaf: DataFrame) -> DataFrame:
+    return F.broadcast(of_leaf) if of_leaf.count() <= FEW_LEAVES else of_leaf
+
+
+def plan(slim: DataFrame, weights: dict[str, dict[str, float]], total: int | None = None, share: float = 0.8, max_epochs: int = 3, seed: int = 1, few: int = 1024) -> DataFrame:
+    """For (domain, lang, source, doc_id, n_tokens): a row for each leaf with budget, whole (epochs) and bound (the last place taken in the next).
+
+    few: a range of so many rows at most is looked at row by row.
+    """
+    keys = list(LEVELS)
+    leaves = common.written(slim.groupBy(*keys).agg(F.sum("n_tokens").alias("supply")), "leaves")
     of_leaf = budgets(leaves, weights, total, share, max_epochs)
     of_leaf = of_leaf.withColumn("whole", F.when(F.col("supply") > 0, F.floor(F.col("budget") / F.col("supply"))).otherwise(0).cast("int"))
-    of_leaf = common.written(of_leaf.withColumn("rest", F.col("budget") - F.col("whole") * F.col("supply")), "budgets")
-    small = F.broadcast(of_leaf) if of_leaf.count() <= FEW_LEAVES else of_leaf
-    placed = slim.join(small.select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("place", place(seed, F.col("whole") + 1, F.col("doc_id")))
-    placed = placed.withColumn("range", F.substring("place", 1, 3))
-    sums = placed.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"), F.max("place").alias("last"))
-    until = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range"))
-    sums = common.written(sums.withColumn("until", until), "ranges")
-    full = sums.where("until <= rest").groupBy(*LEVELS).agg(F.max("last").alias("bound"))
-    ends = sums.where("until > rest and until - n <= rest").select(*LEVELS, "range", (F.col("until") - F.col("n")).alias("before"))
-    # the one range of each leaf that the budget ends in
-    inner = placed.join(ends, [*LEVELS, "range"])
-    so_far = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "range").orderBy("place"))  # equal places are one step
-    inner = inner.withColumn("so_far", F.col("before") + so_far).where("so_far <= rest").groupBy(*LEVELS).agg(F.max("place").alias("inner"))
-    out = of_leaf.join(full, list(LEVELS), "left").join(inner, list(LEVELS), "left")
-    return out.select(*LEVELS, "supply", "budget", "whole", F.coalesce("inner", "bound").alias("bound"))
+    of_leaf = common.written(of_leaf.withColumn("left", F.col("budget") - F.col("whole") * F.col("supply")), "budgets")
+    placed = slim.join(_small(of_leaf.select(*keys, "whole")), keys).select(*keys, "n_tokens", place(seed, F.col("whole") + 1, F.col("doc_id")).alias("place"))
+    # of each leaf: the range in which its budget ends, and what is left of it there
+    ends, taken = of_leaf.select(*keys, F.lit("").alias("range"), "left"), []
+    for digits in range(2, 33, 2):
+        inner = placed.join(_small(ends), keys).where(F.startswith("place", "range")).withColumn("range", F.substring("place", 1, digits))
+        sums = inner.groupBy(*keys, "range").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"), F.max("place").alias("last"), F.max("left").alias("left"))
+        until = F.sum("n").over(Window.partitionBy(*keys).orderBy("range"))  # 256 ranges of a leaf
+        sums = common.written(sums.withColumn("until", until), "ranges")
+        taken.append(sums.where("until <= left").groupBy(*keys).agg(F.max("last").alias("bound")))
+        # rows of one place are taken together or, as here, not
+        ends = sums.where("until > left and until - n <= left and first < last").select(*keys, "range", (F.col("left") - F.col("until") + F.col("n")).alias("left"), "rows")
+        if ends.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0] <= few:  # one number
+            break
+    inner = placed.join(_small(ends), keys).where(F.startswith("place", "range"))
+    so_far = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("place"))  # equal places are one step
+    taken.append(inner.withColumn("so_far", so_far).where("so_far <= left").groupBy(*keys).agg(F.max("place").alias("bound")))
+    bounds = taken[0]
+    for t in taken[1:]:
+        bounds = bounds.unionByName(t)
+    bounds = bounds.groupBy(*keys).agg(F.max("bound").alias("bound"))
+    return of_leaf.join(bounds, keys, "left").select(*keys, "supply", "budget", "whole", "bound")
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, *, domain: Column | None = None, tokens: Column | None = None, total: int | None = None, share: float = 0.8, max_epochs: int = 3, seed: int = 1) -> DataFrame:
-    """Documents in the mixture, a row for each epoch that takes them: epoch counts from 1."""
-    docs = common.extra_columns(docs, "domain", "n_tokens", "epoch")
-    marked = docs.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("domain", domain if domain is not None else domain_of()).withColumn("n_tokens", tokens if tokens is not None else words())
+    """Documents in the mixture, a row for each epoch that takes them: epoch counts from 1. tokens: the tokens of a document (null: 0), by default its words."""
+    marked = docs.withColumn("_n", F.coalesce(tokens.cast("long"), F.lit(0).cast("long")) if tokens is not None else words()).withColumn("_domain", domain if domain is not None else domain_of())
+    marked = marked.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
+    marked = common.extra_columns(marked, "domain", "n_tokens", "epoch").withColumnsRenamed({"_domain": "domain", "_n": "n_tokens"})
     slim = common.written(marked.select("doc_id", "domain", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens"), "slim")
-    leaf = common.written(plan(slim, weights or {}, total, share, max_epochs, seed), "plan").select("domain", F.col("lang").alias("_lang"), F.col("source").alias("_source"), "whole", "bound")
-    leaf = F.broadcast(leaf) if leaf.count() <= FEW_LEAVES else leaf
-    met = marked.join(leaf, ["domain", "_lang", "_source"])
-    times = F.col("whole") + F.coalesce((place(seed, F.col("whole") + 1, F.col("doc_id")) <= F.col("bound")).cast("int"), F.lit(0))
-    taken = met.withColumn("_times", times).where("_times > 0")
-    return taken.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns, "domain", "n_tokens", "epoch")
+    leaf = common.written(plan(slim, weights or {}, total, share, max_epochs, seed), "plan").select("domain", F.col("lang").alias("_lang"), F.col("source").alias("_source"), "whole", "bound").withColumnRenamed("whole", "_whole").withColumnRenamed("bound", "_bound")
+    met = marked.join(_small(leaf), ["domain", "_lang", "_source"])
+    times = F.col("_whole") + F.coalesce((place(seed, F.col("_whole") + 1, F.col("doc_id")) <= F.col("_bound")).cast("int"), F.lit(0))
+    taken = met.withColumn("_times", times).where("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return taken.select(*[c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")], "domain", "n_tokens", "epoch")
 
 
 WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 4, "es": 2}}
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return mix(docs, WEIGHTS).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    # texts are read once: what the mixture needs of them is their length
+    docs = common.written(common.documents(spark, sf_dir).select("doc_id", "lang", "source", words().alias("n_tokens")), "lengths")
+    return mix(docs, WEIGHTS, tokens=F.col("n_tokens")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def _fill_sql(name: str, src: str, parent: str, level: str) -> str:
