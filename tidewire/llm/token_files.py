@@ -1,14 +1,14 @@
 """Token ids as Arrow stream files of fixed-size lists (operator 10).
 
-`write_token_files` encodes documents, deals them out to shards by ranges of doc_id, and writes for each
-shard two files in Arrow's stream format: `<shard>.seq.arrow` with batches of `batch_rows` sequences
+`write_token_files` deals documents out to shards by ranges of doc_id (and of a hash of the text, so that one doc_id on many rows
+makes no large shard), encodes them in order, and writes for each shard two files in Arrow's stream format: `<shard>.seq.arrow` with batches of `batch_rows` sequences
 (`input_ids: fixed_size_list<uint16 or uint32>[seq_len]`, `mask: fixed_size_list<bool>[seq_len]`) and
 `<shard>.idx.arrow` with a row for each document (`doc_id`, `start` in the shard, `n_tokens`). Only a
 shard's last sequence is filled up, under a false mask. `SequenceFile` maps a file into memory and gives any
 sequence as a view of it, without a copy.
 
 Defined results: a null or empty text is the end id alone; a null doc_id sorts first; rows that share a
-doc_id are all written, by doc_id and then by their ids; an empty table gives no file. Other columns of
+doc_id are all written, in the order of a hash of their texts; an empty table gives no file. Other columns of
 the input are ignored.
 
 Survival: a shard is written under a name of its own task attempt and renamed when it is whole, so a
@@ -23,11 +23,13 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +129,7 @@ INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tok
 
 
 class _ShardWriter:
-    """Writes one shard as documents come; holds one batch of sequences at most, and the documents' places."""
+    """Writes one shard as documents come; holds one batch of sequences at most, and the documents' places (24 bytes each)."""
 
     def __init__(self, folder: str, shard: int, seq_len: int, batch_rows: int, dtype: np.dtype):
         self.fs, base = _filesystem(folder)
@@ -140,12 +142,14 @@ class _ShardWriter:
         self.stream = pa.ipc.new_stream(self.out, self.schema)
         self.parts: list[bytes] = []
         self.held = self.total = 0
-        self.index: list[tuple[int | None, int, int]] = []
+        self.ids: list[int | None] = []
+        self.ends = array("q")
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.dtype.itemsize
-        self.index.append((doc_id, self.total, n))
+        self.ids.append(doc_id)
         self.total += n
+        self.ends.append(self.total)
         self.held += n
         self.parts.append(ids)
         if self.held >= self.seq_len * self.rows:
@@ -168,12 +172,14 @@ class _ShardWriter:
         self._flush(True)
         self.stream.close()
         self.out.close()
-        columns = list(zip(*self.index, strict=True)) or [(), (), ()]
+        ends = np.frombuffer(self.ends, np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        columns = self.ids, starts, ends - starts
         with self.fs.open_output_stream(self.own[1]) as out, pa.ipc.new_stream(out, INDEX_SCHEMA) as stream:
             stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=INDEX_SCHEMA))
         for own, final in zip(self.own, self.final, strict=True):
             self.fs.move(own, final)
-        return self.shard, len(self.index), self.total
+        return self.shard, len(self.ids), self.total
 
 
 class SequenceFile:
@@ -220,43 +226,34 @@ def write_token_files(
     spark = docs.sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     shards = max(1, min(size.n or 1, -(-(size.b or 0) // shard_bytes)))
-    bounds: list[int] = []
-    if shards > 1:
-        cuts = [k / shards for k in range(1, shards)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 20 * shards).alias("q")).first().q or []))
-    edges = np.array(bounds, np.int64)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), None
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for b in batches:
-            ids, texts = b.column("doc_id").cast(pa.int64()), common.strings(b.column("text"))
-            shard = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
-            for lo, hi in common.slices(texts):
-                coded = [x + end for x in encoder.encode(texts[lo:hi].to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[lo:hi]), ids[lo:hi], pa.array(coded, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder_of(tokenizer_path).dtype
-        done: list[tuple[int, int, int]] = []
-        now: _ShardWriter | None = None
+        encoder = encoder_of(tokenizer_path)
+        end = np.array([end_id], encoder.dtype).tobytes()
+        out: _ShardWriter | None = None
         for b in batches:
-            for shard, doc_id, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                if now is None or now.shard != shard:
-                    done += [now.close()] if now else []
-                    now = _ShardWriter(folder, shard, seq_len, batch_rows, dtype)
-                now.add(doc_id, ids.as_buffer().to_pybytes())
-        done += [now.close()] if now else []
-        if done:
-            s, n, t = zip(*done, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([f"{folder}/{x:08d}.seq.arrow" for x in s]), pa.array(n, pa.int64()), pa.array(t, pa.int64())], ["shard", "path", "n_docs", "n_tokens"])
-
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = coded.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+            ids, texts = b.column("doc_id").to_pylist(), common.strings(b.column("text"))
+            for lo, hi in common.slices(texts):
+                out = out or _ShardWriter(folder, TaskContext.get().partitionId(), seq_len, batch_rows, encoder.dtype)
+                for doc_id, coded in zip(ids[lo:hi], encoder.encode(texts[lo:hi].to_pylist()), strict=True):
+                    out.add(doc_id, coded + end)
+        if out:
+            shard, n, total = out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{shard:08d}.seq.arrow"]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["shard", "path", "n_docs", "n_tokens"])
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    dealt = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = f"{folder}/manifest"
     dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").write.mode("overwrite").parquet(manifest)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return spark.read.parquet(manifest).withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
+    # starts: within blocks of shards first, then from block to block (a row for each 4,096 shards)
+    rows = spark.read.parquet(manifest).withColumn("_block", F.shiftright("shard", 12))
+    blocks = rows.groupBy("_block").agg(F.sum("n_tokens").alias("_n"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(F.broadcast(blocks), "_block")
+    return rows.select("shard", "path", "n_docs", "n_tokens", (F.col("start") + F.col("_before")).cast("long").alias("start"))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
