@@ -200,7 +200,9 @@ class Words:
 def distinct_by_row(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of each row in order, how often each stands there, and where each row's start. first: each row's first value, and the end."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((h, row))
+    order = np.argsort(h)
+    small = row[order].astype(np.uint16 if len(first) <= 1 << 16 else np.int64)
+    order = order[np.argsort(small, kind="stable")]  # a radix sort for 16 bits
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])

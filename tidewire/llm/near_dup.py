@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,32 +49,56 @@ _R, _INV_R, _LN_C = _tables()
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """n consistent weighted samples of a set: a 64-bit print of (shingle, step) each.
+    """n consistent weighted samples of one set."""
+    return samples_of_rows(shingles, np.array([0, len(shingles)]), weights, n)[0]
+
+
+def samples_of_rows(shingles: np.ndarray, first: np.ndarray, weights: np.ndarray, n: int, step: int = 1 << 14) -> np.ndarray:
+    """n consistent weighted samples of each row's set: a 64-bit print of (shingle, step) each; 0 for an empty set. first: each row's first shingle, and the end.
 
     For each shingle and sample, r, c and beta follow from the shingle's hash alone; t = floor(ln w / r + beta);
-    the shingle with the least ln c - r (t - beta + 1) is drawn.
+    the shingle with the least ln c - r (t - beta + 1) is drawn. With f, what floor takes off, that is ln c - ln w - r (1 - f).
     """
-    seeds = common.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    best, out = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64)
+    out = np.zeros((len(first) - 1, n), np.uint64)
+    lo = 0
+    while lo < len(out):  # rows of about `step` shingles at a time, a longer row by itself
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + step, side="right")) - 1)
+        _draw(shingles[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], weights[first[lo] : first[hi]], out[lo:hi])
+        lo = hi
+    return out
+
+
+def _draw(shingles: np.ndarray, first: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
+    some = np.flatnonzero(np.diff(first))
+    if not len(some):
+        return
+    start, size, row = first[:-1][some], np.diff(first)[some], np.repeat(np.arange(len(some)), np.diff(first)[some])
     ln_w = np.log(weights).astype(np.float32)
-    col = np.arange(n)
-    for k in range(0, len(shingles), 512):
-        h = shingles[k : k + 512, None]
-        x = (h ^ seeds) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
+    odd = np.flatnonzero(ln_w)  # where ln w is 0, t is 0 and f is beta
+    x, y = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+    f, r, t = (np.zeros(len(row), np.float32) for _ in range(3))
+    for k, seed in enumerate(common.mix(np.arange(1, out.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))):
+        np.bitwise_xor(shingles, seed, out=x)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= np.right_shift(x, np.uint64(32), out=y)
         x *= np.uint64(0xA0761D6478BD642F)
-        low = x.view(np.uint32).reshape(len(h), n, 2)
-        one = (low[:, :, 1] >> np.uint32(16)).astype(np.intp)
-        two = (low[:, :, 1] & np.uint32(0xFFFF)).astype(np.intp)
-        beta = (low[:, :, 0] ^ low[:, :, 1]).astype(np.float32) * np.float32(2.0**-32)
-        t = np.floor(ln_w[k : k + 512, None] * _INV_R[one] + beta)
-        value = _LN_C[two] - _R[one] * (t - beta + np.float32(1))
-        at = value.argmin(axis=0)
-        least = value[at, col]
-        win = least < best
-        best[win] = least[win]
-        out[win] = common.mix(shingles[k : k + 512][at[win]] ^ (t[at[win], col[win]].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return out
+        one = np.right_shift(x, np.uint64(48), out=y).view(np.int64)
+        np.take(_R, one, out=r, mode="clip")
+        f[:] = x.view(np.uint32)[0::2]
+        f *= np.float32(2.0**-32)
+        if len(odd):
+            whole = f[odd] + ln_w[odd] * _INV_R[one[odd]]
+            t[odd] = np.floor(whole)
+            f[odd] = whole - t[odd]
+        f -= np.float32(1)
+        f *= r
+        np.right_shift(x, np.uint64(32), out=y)
+        y &= np.uint64(0xFFFF)
+        f += np.take(_LN_C, y.view(np.int64), out=r, mode="clip")
+        f -= ln_w
+        hit = np.flatnonzero(f == np.repeat(np.minimum.reduceat(f, start), size))
+        hit = hit[np.append(True, row[hit][1:] != row[hit][:-1])]  # ties go to the smaller shingle
+        out[some, k] = common.mix(shingles[hit] ^ (t[hit].astype(np.int64).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
 class Idf:
@@ -132,19 +157,15 @@ def sign(docs: DataFrame, idf: Idf, bands: int, per_band: int, k: int = SHINGLE)
             for lo, hi in common.slices(texts):
                 words = common.Words(texts[lo:hi])
                 h, times, first = common.distinct_by_row(*words.shingles(k))
-                w = weigh(h, times)
+                s = samples_of_rows(h, first, weigh(h, times), n)
                 one, two = words.sequence()
-                sigs, keys, none = [], [], np.diff(words.rows) == 0
-                for d in range(hi - lo):
-                    if none[d]:
-                        sigs.append(None)
-                        keys.append(None)
-                        continue
-                    s = samples(h[first[d] : first[d + 1]], w[first[d] : first[d + 1]], n)
-                    sigs.append((s >> np.uint64(32)).astype("<u4").tobytes())
-                    keys.append(common.mix((s.reshape(bands, per_band) * lift).sum(axis=1, dtype=np.uint64) * np.uint64(2) + salt).view(np.int64))
+                none = np.diff(words.rows) == 0
+                keys = common.mix((s.reshape(-1, bands, per_band) * lift).sum(axis=2, dtype=np.uint64) * np.uint64(2) + salt).view(np.int64)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
+                sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * n), hi - lo, [None, pa.py_buffer((s >> np.uint64(32)).astype("<u4").tobytes())]).cast(pa.binary())
+                sigs, keys = (pc.if_else(pa.array(none), None, x) for x in (sigs, keys))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[lo:hi].cast(pa.int64()), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [b.column("doc_id")[lo:hi].cast(pa.int64()), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none), sigs, keys],
                     ["doc_id", "text_a", "text_b", "sig", "keys"],
                 )
 
@@ -175,9 +196,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k:
             for lo in range(0, batch.num_rows, 64):
                 sets = []
                 for side in (a, b):
-                    h, first = common.Words(side[lo : lo + 64]).shingles(k)
-                    own = [np.unique(h[first[d] : first[d + 1]], return_counts=True) for d in range(len(first) - 1)]
-                    sets.append([(u, weigh(u, c)) for u, c in own])
+                    h, times, first = common.distinct_by_row(*common.Words(side[lo : lo + 64]).shingles(k))
+                    w = weigh(h, times)
+                    sets.append([(h[x:y], w[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)])
                 s = np.array([weighted_jaccard(x, y) for x, y in zip(*sets, strict=True)])
                 ok = pa.array(s >= threshold)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo : lo + 64].filter(ok) for c in ("a", "b")), pa.array(s).filter(ok)], ["a", "b", "similarity"])
