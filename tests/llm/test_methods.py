@@ -115,7 +115,19 @@ def test_parity_of_whole_texts(spark):
     peer, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_io.Codec(path)
     texts = [r.text or "" for r in common.documents(spark, SF).collect()]
     for t, (ids, back, same) in zip(texts, codec.encode(texts), strict=True):
-        assert np.frombuffer(ids, codec.dtype).tolist() == peer.encode(t) and same and back == peer.decode(peer.encode(t))
+        assert ids.tolist() == peer.encode(t) and same and back == peer.decode(peer.encode(t))
+
+
+def test_caches_change_ages():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(token_files.default_tokenizer()), token_files.CachedEncoder(token_files.default_tokenizer(), most=50)
+    codec = sentencepiece_io.Codec(token_files.default_tokenizer("piece_bpe_32k.model"), most=50)
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        texts = [prose(rng, 8) + " the end, it's 42", "", "日本 the"]
+        assert [x.tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in codec.ids(texts)[0]] == codec.peer.encode(texts)
 
 
 # ---------------------------------------------------------------- 3

@@ -154,6 +154,11 @@ def sums_over(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return (total[ends] - total[starts]) * powers(inverse, n + 1)[starts]
 
 
+def byte_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of raw[start:end] for each pair; to be mixed."""
+    return sums_over(_BYTE[raw], starts, ends, _ODD, _INVERSE)
+
+
 class Words:
     """The words of a block of rows: `hashes`, `starts` and `ends` (byte places), `rows` (first word of each row)."""
 
@@ -174,7 +179,7 @@ class Words:
         if len(joined):  # a word that ends at a row's end and one that starts there
             edges = np.sort(np.concatenate([edges, joined, joined]))
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.hashes = mix(sums_over(_BYTE[raw], self.starts, self.ends, _ODD, _INVERSE))
+        self.hashes = mix(byte_hashes(raw, self.starts, self.ends))
         self.rows = np.searchsorted(self.starts, off)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -125,13 +125,12 @@ def count_tokens(docs: DataFrame, word_path: str, piece_path: str) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, piece = encoder_of(word_path), codec_of(piece_path, 2)
+        word, piece = encoder_of(word_path), codec_of(piece_path, 1, check=False)
         for b in batches:
             texts = common.strings(b.column("text"))
             for lo, hi in common.slices(texts):
                 rows = texts[lo:hi].to_pylist()
-                coded = (word.encode(rows), word.dtype), (piece.ids(rows)[0], piece.dtype)
-                n = [pa.array([len(i) // dtype.itemsize for i in ids], pa.int64()) for ids, dtype in coded]
+                n = [pa.array([len(i) for i in ids], pa.int64()) for ids in (word.encode(rows), piece.ids(rows)[0])]
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in names), *n], [*names, "n_word", "n_piece"])
 
     return docs.select(*names, "text").mapInArrow(run, common.wider(docs.select(*names).schema, "n_word long, n_piece long"))

@@ -28,86 +28,91 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .pieces import PieceTable
 
 #: Fixed value: the pattern by which the tokenizer file splits normalised text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LETTER = "a-zß-öø-ÿ"
 
 
-class TwoAges(dict):
-    """A bounded cache: what was used since the last change of age, and what was used in the age before."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):  # noqa: ANN001, ANN204
-        value = self[key] = self.old[key]
-        return value
-
-    def renew(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+_KIND = np.full(256, 3, np.uint8)  # of a byte of lower-cased text: 0 white space, 1 letter, 2 digit, 3 anything else
+_KIND[[9, 10, 13, 32]], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 1
+
+
+def pre_tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of what WORD_PATTERN finds in lower-cased texts of ASCII and Latin letters, and the first of each text. off: each text's first byte, and the end."""
+    kind = _KIND[raw]
+    begin = np.ones(len(raw) + 1, bool)
+    begin[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begin[off] = True
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]]) if len(kind) else kind
+    edge = np.zeros(len(raw) + 3, bool)
+    edge[off] = True
+    mark = np.flatnonzero((raw == 39) & ((before != 3) | edge[: len(raw)]))
+    if len(mark):  # 's 't 're 've 'm 'll 'd at a piece's start, within one text
+        padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+        x, y, in1, in2 = padded[mark + 1], padded[mark + 2], ~edge[mark + 1], ~edge[mark + 2]
+        two, three = np.isin(x, [115, 116, 109, 100]) & in1, (((x == 114) | (x == 118)) & (y == 101) | (x == 108) & (y == 108)) & in1 & in2
+        for hit, n in ((two, 2), (three & ~two, 3)):
+            at = mark[hit]
+            begin[at + 1] = False
+            begin[at + n] = True
+    edges = np.flatnonzero(begin)
+    inner = kind[edges[:-1]] != 0
+    starts, ends = edges[:-1][inner], edges[1:][inner]
+    return starts, ends, np.searchsorted(starts, off)
 
 
 class CachedEncoder:
     """The tokenizers library's ids, with a bounded cache of pre-tokens in front of it.
 
     The tokenizer file lower-cases text and splits it by WORD_PATTERN; ids never depend on anything beyond
-    a pre-token. For texts of ASCII and precomposed Latin letters, Python's `re` finds the same pre-tokens,
+    a pre-token. For texts of ASCII and precomposed Latin letters `pre_tokens` finds the same pre-tokens,
     and the library encodes each distinct one once. Any other text, or one that may hold a special token,
     goes to the library whole, as does every text of a tokenizer that is built otherwise.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache = TwoAges(most)
+        self.table = PieceTable(self._encode_pieces, self.dtype, most)
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split == WORD_PATTERN and bool(spec["model"].get("end_of_word_suffix")) and self.dtype.itemsize == 2
         self.safe = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+").findall
         self.ends_word = np.zeros(1 << 16, bool)
         if self.plain:
             self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian numbers of `dtype`."""
-        cache, out, pieces = self.cache, [], []
-        for text in texts:
-            plain = self.plain and self.safe.fullmatch(text) and not any(s in text for s in self.special)
-            pieces.append(self.find(text.lower()) if plain else None)
-        cache.renew()
-        new = list(set().union(*(p for p in pieces if p)).difference(cache, cache.old))
+    def _encode_pieces(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         # each pre-token ends with a piece that carries the word-end mark, so many are encoded as one line and cut there
-        lines = [new[k : k + 256] for k in range(0, len(new), 256)]
+        out = []
+        lines = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            width, raw, start = self.dtype.itemsize, ids.tobytes(), 0
-            for p, end in zip(line, ends.tolist(), strict=True):
-                cache[p] = raw[start * width : end * width]
-                start = end
-        get = cache.__getitem__
-        for text, found in zip(texts, pieces, strict=True):
-            out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) if found is None else b"".join(map(get, found)))
-        return out
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) != len(line):
+                raise ValueError("pre-tokens can't be told apart in a line")
+            out += [ids[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+        return out, np.zeros(len(out), bool)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        plain = [self.plain and self.safe.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        raw, off = common.utf8(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string())))
+        found = iter(self.table.lookup(raw, *pre_tokens(raw, off))[0])
+        return [next(found) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) for t, p in zip(texts, plain, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -140,23 +145,23 @@ class _ShardWriter:
         self.schema = sequence_schema(seq_len, dtype)
         self.out = self.fs.open_output_stream(self.own[0])
         self.stream = pa.ipc.new_stream(self.out, self.schema)
-        self.parts: list[bytes] = []
+        self.parts: list[np.ndarray] = []
         self.held = self.total = 0
         self.ids: list[int | None] = []
         self.ends = array("q")
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // self.dtype.itemsize
+    def add(self, doc_id: int | None, ids: np.ndarray, end: np.ndarray) -> None:
+        n = len(ids) + len(end)
         self.ids.append(doc_id)
         self.total += n
         self.ends.append(self.total)
         self.held += n
-        self.parts.append(ids)
+        self.parts += [ids, end]
         if self.held >= self.seq_len * self.rows:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.parts), self.dtype)
+        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, self.dtype)
         step, n = self.seq_len * self.rows, self.seq_len
         while len(ids) >= step or last and len(ids):
             part, ids = ids[:step], ids[step:]
@@ -166,7 +171,7 @@ class _ShardWriter:
             part = np.concatenate([part, np.zeros(full - len(part), self.dtype)])
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x in (part, mask)]
             self.stream.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
-        self.parts, self.held = ([ids.tobytes()], len(ids)) if len(ids) else ([], 0)
+        self.parts, self.held = ([ids.copy()], len(ids)) if len(ids) else ([], 0)
 
     def close(self) -> tuple[int, int, int]:
         self._flush(True)
@@ -229,14 +234,14 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], encoder.dtype)
         out: _ShardWriter | None = None
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), common.strings(b.column("text"))
             for lo, hi in common.slices(texts):
                 out = out or _ShardWriter(folder, TaskContext.get().partitionId(), seq_len, batch_rows, encoder.dtype)
                 for doc_id, coded in zip(ids[lo:hi], encoder.encode(texts[lo:hi].to_pylist()), strict=True):
-                    out.add(doc_id, coded + end)
+                    out.add(doc_id, coded, end)
         if out:
             shard, n, total = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{shard:08d}.seq.arrow"]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["shard", "path", "n_docs", "n_tokens"])
