@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import lexicons as lex
+
 
 def clean(text: Column) -> Column:
     """Without tags, white space as single blanks."""
@@ -32,12 +34,15 @@ def event_id(title: Column, source: Column) -> Column:
     return F.substring(F.sha2(F.lower(F.trim(F.concat(title, F.lit("|"), source))), 256), 1, 24)
 
 
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Gen", "Sen", "Rep", "Gov", "Lt", "Col", "vs", "No")
+#: Words whose full stop ends no sentence.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Sr", "Jr", "vs", "etc", "approx", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences; a full stop after a known abbreviation ends none."""
-    kept = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.", "$1\u0000")
+    """Array of sentences; a full stop within or after initials (U.S., e.g.) or after a known abbreviation ends none."""
+    kept = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.(?![A-Za-z0-9])", "$1\u0000")
+    kept = F.regexp_replace(kept, r"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)", "\u0000")
+    kept = F.regexp_replace(kept, r"(?<=\x00[A-Za-z])\.(?![A-Za-z0-9])", "\u0000")
     parts = F.transform(F.split(kept, r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("\u0000"), F.lit(".")), r"\s+", " ")))
     return F.filter(parts, lambda s: s != "")
 
@@ -99,8 +104,10 @@ def visible_length(text: Column) -> Column:
 
 
 def clean_headline(title: Column) -> Column:
-    """Without a label in front and a publisher behind, first letter capital."""
-    h = F.regexp_replace(F.regexp_replace(title, r"(?i)^(live|watch|video|exclusive|breaking|update)\s*[:|-]\s*", ""), r"\s+[-|]\s+[^-|]{2,40}$", "")
+    """Without a publisher behind and a label in front, white space as single blanks, first letter capital. A null title gives null."""
+    h = F.trim(F.regexp_replace(title, r"\s+", " "))
+    h = F.regexp_replace(h, rf"(?i)\s*(?:-\s*|[–—]\s*|\|\s*)(?:{lex.PUBLISHERS})$", "")
+    h = F.trim(F.regexp_replace(h, r"(?i)^(?:Live|Watch|Video|Update|Breaking|Flash)[:\s-]+\s*", ""))
     return F.concat(F.upper(F.left(h, F.lit(1))), F.substring(h, F.lit(2), F.length(h)))
 
 
@@ -122,11 +129,12 @@ def registrable(host_name: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), ".")
 
 
-def error_class(text: Column) -> Column:
+def error_class(text: Column, classes: dict[str, list[str]] = lex.ERROR_CLASSES) -> Column:
+    """The first class of which a term stands in the message, OTHER if none does; null for a null or empty one."""
     low, out = F.lower(text), F.lit("OTHER")
-    for name, terms in reversed((("HTTP_403", ["403"]), ("HTTP_404", ["404"]), ("TIMEOUT", ["timeout", "timed out"]), ("DNS_ERROR", ["name or service", "dns", "resolve"]), ("PARSE_ERROR", ["parse", "xml", "syntax"]), ("CONNECTION_ERROR", ["connection", "refused", "reset"]))):
+    for name, terms in reversed(classes.items()):
         hit = F.lit(False)
         for t in terms:
             hit = hit | F.contains(low, F.lit(t))
         out = F.when(hit, F.lit(name)).otherwise(out)
-    return out
+    return F.when(F.coalesce(text, F.lit("")) != "", out)

@@ -32,11 +32,14 @@ def unexpired(rows: DataFrame, time: str, now: Column, hours: Column) -> DataFra
 
 
 def cross_source_duplicates(rows: DataFrame, key: str, source: str, seq: str) -> DataFrame:
-    """Marks duplicate: from the first row of another source on, every row of a key but those before."""
-    order = Window.partitionBy(key).orderBy(seq)
-    first = F.first(source).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_other", (F.col(source) != first).cast("int"))
-    return marked.withColumn("duplicate", F.max("_other").over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_other")
+    """Marks duplicate: from the first row of another source on, every row of a key but those before.
+
+    Sources of a key are told by their first rows; every row then looks at one bound, so a key on many rows is sorted nowhere.
+    """
+    firsts = rows.where(F.col(source).isNotNull()).groupBy(key, source).agg(F.min(seq).alias("_at"))
+    one = rows.groupBy(key).agg(F.min_by(source, seq).alias("_first"))
+    bound = firsts.join(one, key).where(F.col(source) != F.col("_first")).groupBy(key).agg(F.min("_at").alias("_from"))
+    return rows.join(bound, key, "left").withColumn("duplicate", F.coalesce(F.col(seq) >= F.col("_from"), F.lit(False))).select(*rows.columns, "duplicate")
 
 
 def without(rows: DataFrame, *seen: tuple[DataFrame, str, str]) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import score as sc
 from ..functions import text as tx
 from ..operators import audit, leaders, ranking, similarity, tables
 from ..sources.tables import stories, table, with_times
-from ..streaming import emission, event_memory, windows
+from ..streaming import emission, windows
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', '')"
 
@@ -142,10 +142,13 @@ def editorial_filter(spark: SparkSession, d: str) -> DataFrame:
     return stories(spark, d).select("id", F.when(t.rlike("(?i)tion"), "review").when(t.rlike("(?i)^the"), "opinion").when(t.rlike("!!"), "sponsored").alias("reason"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'HTTP 403 Forbidden' WHEN 1 THEN 'read timed out' WHEN 2 THEN 'Name or service not known' WHEN 3 THEN 'XML syntax' WHEN 4 THEN 'Connection reset' ELSE 'odd' END AS t FROM events)
- SELECT event_id, CASE WHEN lower(t) LIKE '%403%' THEN 'HTTP_403' WHEN lower(t) LIKE '%404%' THEN 'HTTP_404' WHEN lower(t) LIKE '%timed out%' THEN 'TIMEOUT' WHEN lower(t) LIKE '%name or service%' THEN 'DNS_ERROR' WHEN lower(t) LIKE '%xml%' THEN 'PARSE_ERROR' WHEN lower(t) LIKE '%connection%' THEN 'CONNECTION_ERROR' ELSE 'OTHER' END AS class FROM e""")
+_ERRORS = ["HTTP 403", "Forbidden by the server", "status 404", "Page Not Found", "read timed out", "Timeout", "Name or service not known", "nodename nor servname provided", "DNS failure", "bozo feed", "XML syntax", "Connection reset", "refused", "", "odd"]
+
+
+@query(f"""WITH e AS (SELECT event_id, lower(([{', '.join(f"'{e}'" for e in _ERRORS)}])[event_id % {len(_ERRORS)} + 1]) AS t FROM events)
+ SELECT event_id, CASE WHEN t = '' THEN NULL {' '.join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for name, ws in lex.ERROR_CLASSES.items())} ELSE 'OTHER' END AS class FROM e""")
 def error_classes(spark: SparkSession, d: str) -> DataFrame:
-    says = F.element_at(F.array(*map(F.lit, ["HTTP 403 Forbidden", "read timed out", "Name or service not known", "XML syntax", "Connection reset", "odd"])), (F.col("event_id") % 6 + 1).cast("int"))
+    says = F.get(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS)).cast("int"))
     return table(spark, d, "events").select("event_id", tx.error_class(says).alias("class"))
 
 
@@ -245,7 +248,7 @@ def purge_retention(spark: SparkSession, d: str) -> DataFrame:
     return tables.unexpired(e, "ts", now, F.when(F.col("value") >= 50, 168).otherwise(48)).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query(S + """, k AS (SELECT id, source, left(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 8) AS key FROM stories), f AS (SELECT *, first_value(source) OVER (PARTITION BY key ORDER BY id) AS fs FROM k)
+@query(S + """, k AS (SELECT id, source, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key FROM stories), f AS (SELECT *, first_value(source) OVER (PARTITION BY key ORDER BY id) AS fs FROM k)
  SELECT id, coalesce(max(CASE WHEN source <> fs THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY id) = 1, false) AS duplicate FROM f""")
 def cross_source_title_dedup(spark: SparkSession, d: str) -> DataFrame:
     k = stories(spark, d).select("id", "source", tx.norm_title(F.col("title")).alias("key"))
@@ -340,7 +343,19 @@ def nearby_number_window(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sentences and pages
 
 
-@query(None)
+def _protected(text: str) -> str:
+    """Full stops of abbreviations and of two initials as a mark, in SQL."""
+    out, start = rf"'(^|[^A-Za-z0-9_À-ɏ])({'|'.join(tx.ABBREVIATIONS)})[.]([^A-Za-z0-9]|$)', '\1\2' || chr(2) || '\3', 'g'", "'(^|[^A-Za-z0-9_À-ɏ])([A-Za-z])[.]([A-Za-z])[.]([^A-Za-z0-9]|$)'"
+    return rf"regexp_replace(regexp_replace({text}, {out}), {start}, '\1\2' || chr(2) || '\3' || chr(2) || '\4', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id AS id, string_split_regex(regexp_replace({_protected('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM documents WHERE text IS NOT NULL),
+ f AS (SELECT id, list_filter(list_transform(a, lambda x: trim(regexp_replace(replace(x, chr(2), '.'), '\s+', ' ', 'g'))), lambda x: x <> '') AS a FROM p),
+ s AS (SELECT id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM f),
+ o AS (SELECT id, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS norm, min({{'pos': pos, 'sentence': sentence}}) AS m FROM s GROUP BY 1, 2),
+ c AS (SELECT id, m.pos AS pos, 3 * least(2, len(list_distinct(list_transform(regexp_extract_all(m.sentence, '[0-9][0-9,.]*'), lambda x: regexp_replace(regexp_replace(x, '[^0-9.]', '', 'g'), '[.]+$', '')))))
+   + least(2, len(regexp_extract_all(m.sentence, '[a-z,] [A-Z][a-z]+'))) AS score FROM o WHERE norm <> '')
+ SELECT id, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(pos AS INTEGER) AS pos, CAST(score AS INTEGER) AS score FROM c WINDOW w AS (PARTITION BY id ORDER BY score DESC, pos) QUALIFY row_number() OVER w <= 4""")
 def sentence_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return ranking.top_sentences(ranking.sentence_rows(docs), "id").select("id", "rank", "pos", "score")
@@ -360,7 +375,9 @@ def quote_attribution(spark: SparkSession, d: str) -> DataFrame:
     return ranking.attributed(c, "conv_id", "turn", F.col("role") == "assistant", F.col("role") == "system").select("conv_id", "turn", "attributed")
 
 
-@query(r"""SELECT page_id, count(*) AS paragraphs, CAST(sum(length(p)) AS BIGINT) AS chars FROM (SELECT page_id, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '<p>([^<]*)', 1)), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM pages) WHERE length(p) >= 40 GROUP BY 1""")
+@query(r"""WITH p AS (SELECT page_id, unnest(string_split_regex(html, '(?i)<p(?:\s[^>]*)?>')[2:]) AS p FROM pages),
+ c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(p, '(?is)(?:</p\s*>|</article\s*>|</body\s*>).*$', ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM p)
+ SELECT page_id, count(*) AS paragraphs, CAST(sum(length(p)) AS BIGINT) AS chars FROM c WHERE length(p) >= 40 GROUP BY 1""")
 def article_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select("page_id", F.explode(pages.paragraphs(F.col("html"))).alias("p"))
     return rows.where(F.length("p") >= 40).groupBy("page_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("p")).cast("long").alias("chars"))
@@ -402,8 +419,7 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT event_id, event_type, floor(epoch(ts))::BIGINT AS s FROM events) SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hour, count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS day FROM e""")
 def rolling_post_caps(spark: SparkSession, d: str) -> DataFrame:
-    e = windows.rolling(windows.rolling(table(spark, d, "events"), "event_type", 3600, "ts", "hour"), "event_type", 86_400, "ts", "day")
-    return e.select("event_id", "hour", "day")
+    return windows.rolling(table(spark, d, "events"), "event_id", "event_type", {"hour": 3600, "day": 86_400}).select("event_id", "hour", "day")
 
 
 @query(None)
@@ -424,7 +440,10 @@ def fresh_stories(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- groups, event memory, messages
 
 
-@query(None)
+@query("WITH RECURSIVE " + (S + _PAIRS)[5:] + """, t AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM stories WHERE len(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) >= 3),
+ l AS (SELECT b AS id, list(a) AS earlier FROM j WHERE sim >= 0.8 AND a < b AND na >= 3 AND nb >= 3 GROUP BY b), q AS (SELECT r, t.id, coalesce(earlier, []) AS earlier FROM t LEFT JOIN l USING (id)),
+ walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS heads UNION ALL SELECT q.r, CASE WHEN list_has_any(heads, earlier) THEN heads ELSE list_append(heads, q.id) END FROM walk JOIN q ON q.r = walk.r + 1),
+ f AS (SELECT heads FROM walk ORDER BY r DESC LIMIT 1) SELECT id, coalesce(list_min(list_intersect(earlier, heads)), id) AS leader FROM q, f""")
 def leader_groups(spark: SparkSession, d: str) -> DataFrame:
     """Titles in groups around the earliest of them; the tests hold the operator against a walk in order."""
     titles = _titles(spark, d).where(F.size("tokens") >= 3)
@@ -433,30 +452,8 @@ def leader_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(None)
-def event_memory_run(spark: SparkSession, d: str) -> DataFrame:
-    """All stories through an empty event memory in order of their number; the titles' long words stand for entities."""
-    none = F.array().cast("array<string>")
-    words = F.filter(tx.token_set(F.col("title")), lambda w: F.length(w) >= 9)
-    s = stories(spark, d).select(
-        F.col("id").cast("string").alias("id"), F.col("id").cast("long").alias("seq"), "source", *(F.lit(False).alias(c) for c in ("discovery", "dev", "reaction")),
-        words.alias("entities"), tx.token_set(F.col("title")).alias("tokens"), tx.token_set(F.col("title")).alias("title_tokens"), tx.numbers(F.col("title")).alias("numbers"),
-        *(none.alias(c) for c in ("places", "actions", "core", "impact", "storms", "magnitudes")),
-    )
-    return event_memory.remember(s, event_memory.Memory.empty(spark))[0].select("id", "status", "event_id", F.round("score", 6).alias("score"), "reason")
-
-
-def _sql_escaped(text: str) -> str:
-    return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-
-
-_MESSAGE = f"'NEWS' || chr(10) || chr(10) || '<b>' || {_sql_escaped('head')} || '</b>' || chr(10) || chr(10) || {_sql_escaped("array_to_string(s[1:k], ' ')")} || chr(10) || chr(10) || 'Source: ' || conv_id"
-
-
-@query(rf"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE turn <= 4) AS s, 'Conversation ' || conv_id AS head FROM (SELECT conv_id, turn, left(text, 60) AS text FROM conversations WHERE text IS NOT NULL) GROUP BY 1),
- k AS (SELECT *, unnest(range(2, len(s) + 1)) AS k FROM c), m AS (SELECT conv_id, k, {_MESSAGE} AS message FROM k),
- v AS (SELECT *, length(regexp_replace(regexp_replace(message, '<[^>]+>', '', 'g'), '&(amp|lt|gt|quot|#[0-9]+);', 'x', 'g')) AS n FROM m)
- SELECT conv_id, max_by(message, k) AS message, CAST(max_by(n, k) AS INTEGER) AS shown FROM v WHERE n <= 220 GROUP BY 1""")
 def messages_under_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts of all turns; the tests hold the operator against a walk."""
     turns = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", tx.sentences(F.col("text")).alias("s"))
     ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("t"))
     name = F.col("conv_id").cast("string")
