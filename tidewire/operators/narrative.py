@@ -65,7 +65,7 @@ def aggregated(items: DataFrame, group: str, headline: Column) -> DataFrame:
     told = leaders.cut(rows.select(group, "_sid", F.struct("rank", "pos").alias("at"), tokens.alias("words"), sg.number_units(F.col("sentence")).alias("units")))
     # alike: tokens carry their group, so only sentences of one group can share them
     own = F.transform("words", lambda w: F.concat_ws("\u0001", F.col(group).cast("string"), w))
-    alike = similarity.similar_pairs(told.select(F.col("_sid").alias("id"), own.alias("tokens")).where(F.size("tokens") >= 3), 0.8).select("a", "b")
+    alike = similarity.similar_pairs(told.withColumn("tokens", own).select(F.col("_sid").alias("id"), "tokens").where(F.size("tokens") >= 3), 0.8).select("a", "b")
     # at odds: they meet on a unit and two words
     keyed = told.select(group, "_sid", F.explode("units").alias("unit", "n"), "words").withColumn("words", F.array_sort("words"))
     pairs = F.flatten(F.transform("words", lambda x, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda y: F.concat_ws(" ", x, y))))
