@@ -80,7 +80,7 @@ def train(rows: DataFrame, buckets: int = BUCKETS, most: int = 512) -> tuple[lis
                 total += np.bincount((grams + (code[lo:hi][row] * buckets)[:, None]).ravel(), minlength=size)
         yield from common.vector_rows(total, common.task_salt())
 
-    counted = rows.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("text", "lang").mapInArrow(count, common.VECTOR)
+    counted = rows.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("text", "lang").mapInArrow(common.lean(count), common.VECTOR)
     counts = common.sum_vectors(counted, size).reshape(len(langs), buckets).astype(np.float64)
     smooth = counts + 0.5
     return langs, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, penalty: float
                 maps = pa.MapArray.from_arrays(pa.array(places), pa.array([langs[x] for x in lang], pa.string()), pa.array(share[at, lang], pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in kept), pa.array(names), pa.array(np.minimum(1.0, np.where(ok, top, 0.0))), maps], [*kept, "lang_pred", "score", "langs"])
 
-    return docs.mapInArrow(score, common.wider(docs.schema, "lang_pred string, score double, langs map<string,double>"))
+    return docs.mapInArrow(common.lean(score), common.wider(docs.schema, "lang_pred string, score double, langs map<string,double>"))
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -140,7 +140,7 @@ def count_shingles(docs: DataFrame, k: int = SHINGLE, sketch: int = 1 << 18) ->
                 total += np.bincount((own % np.uint64(sketch)).astype(np.int64), minlength=sketch)
         yield from common.vector_rows(total, common.task_salt())
 
-    return common.sum_vectors(docs.select("text").mapInArrow(count, common.VECTOR), sketch)
+    return common.sum_vectors(docs.select("text").mapInArrow(common.lean(count), common.VECTOR), sketch)
 
 
 def sign(docs: DataFrame, idf: Idf, bands: int, per_band: int, k: int = SHINGLE) -> DataFrame:
@@ -169,7 +169,7 @@ def sign(docs: DataFrame, idf: Idf, bands: int, per_band: int, k: int = SHINGLE)
                     ["doc_id", "text_a", "text_b", "sig", "keys"],
                 )
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, text_a long, text_b long, sig binary, keys array<long>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, text_a long, text_b long, sig binary, keys array<long>")
 
 
 def _alike(pairs: DataFrame, least: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _alike(pairs: DataFrame, least: int) -> DataFrame:
                 ok = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(common.lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float, k:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo : lo + 64].filter(ok) for c in ("a", "b")), pa.array(s).filter(ok)], ["a", "b", "similarity"])
 
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(common.lean(run), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, **how: float) -> DataFrame:
@@ -303,7 +303,7 @@ def _prefix_pairs(nodes: DataFrame, apart: DataFrame, texts: DataFrame, idf: Idf
 
     wide, part = 1.04, threshold / (1.0 + threshold)
     reach = math.ceil(-math.log(threshold) / math.log(wide))
-    sets = texts.join(nodes, "doc_id").select("doc_id", "c", "text").mapInArrow(run, "doc_id long, c long, whole double, shingle array<long>, w array<double>")
+    sets = texts.join(nodes, "doc_id").select("doc_id", "c", "text").mapInArrow(common.lean(run), "doc_id long, c long, whole double, shingle array<long>, w array<double>")
     sets = common.written(sets.select("doc_id", "c", "whole", F.explode(F.arrays_zip("shingle", "w")).alias("z")).select("doc_id", "c", "whole", "z.shingle", "z.w"), "shingles")
     often = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = Window.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)

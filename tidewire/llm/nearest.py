@@ -193,7 +193,7 @@ def _of_length(base: DataFrame, length: int, k: int, dims: int, sure: float, sha
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(shard_of(matrix(b.column("embedding")) @ project, levels)), *(b.column(c) for c in ("vec_id", "embedding"))], ["shard", "vec_id", "embedding"])
 
-    dealt = rows.select("vec_id", "embedding").mapInArrow(deal, "shard long, vec_id long, embedding array<float>")
+    dealt = rows.select("vec_id", "embedding").mapInArrow(common.lean(deal), "shard long, vec_id long, embedding array<float>")
     index = common.written(_packed(dealt, "shard", "own", min(1 << depth, 4000), 1 << 40, project), "index")
     boxes = np.array([(r.shard, *r.low, *r.high) for r in index.select("shard", "low", "high").collect()]).reshape(-1, 1 + 2 * dims)  # MOST_SHARDS rows at most
     shards, low, high = boxes[:, 0].astype(np.int64), boxes[:, 1 : 1 + dims], boxes[:, 1 + dims :]
@@ -233,10 +233,10 @@ def _of_length(base: DataFrame, length: int, k: int, dims: int, sure: float, sha
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score", "verified"])
 
     def searched(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(route(first), "shard long, vec_id long, embedding array<float>, bound double")
+        sent = asked.mapInArrow(common.lean(route(first)), "shard long, vec_id long, embedding array<float>, bound double")
         blocks = _packed(sent.withColumn("_b", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(max(1, n // 100 // (block * 4))))), "shard", "query", min(1 << depth, 4000), block, None, "_b")
         met = index.join(blocks, "shard").sortWithinPartitions("shard").select("shard", "own_ids", "own_vectors", "query_ids", "query_vectors", "query_bounds")
-        return common.written(met.mapInArrow(search, "query_id long, vec_id long, score double, verified long"), "near")
+        return common.written(met.mapInArrow(common.lean(search), "query_id long, vec_id long, score double, verified long"), "near")
 
     asks = base.where("asks").select("vec_id", "embedding")
     home = searched(asks.withColumn("bound", F.lit(float("inf"))), True)
@@ -290,7 +290,7 @@ def _packed(rows: DataFrame, key: str, what: str, parts: int, most: int, project
     more = "low array<double>, high array<double>" if width else f"{what}_bounds binary"
     by = [key, salt] if salt else [key]
     together = rows.repartition(parts, *by).sortWithinPartitions(key)
-    return together.select(key, "vec_id", "embedding", *([] if width else ["bound"])).mapInArrow(run, f"{key} long, {what}_ids binary, {what}_vectors binary, {more}")
+    return together.select(key, "vec_id", "embedding", *([] if width else ["bound"])).mapInArrow(common.lean(run), f"{key} long, {what}_ids binary, {what}_vectors binary, {more}")
 
 
 def op5_nearest(spark, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def fit(docs: DataFrame, target: str, buckets: int = BUCKETS, smooth: float = 1.
                     total[1] += np.bincount(grams[mine].ravel() + 1, minlength=buckets + 1)
         yield from common.vector_rows(total[:, 1:].ravel(), common.task_salt())
 
-    counted = docs.select("text", F.coalesce(F.col(target), F.lit(False)).alias("good")).mapInArrow(count, common.VECTOR)
+    counted = docs.select("text", F.coalesce(F.col(target), F.lit(False)).alias("good")).mapInArrow(common.lean(count), common.VECTOR)
     raw, good = common.sum_vectors(counted, 2 * buckets).reshape(2, buckets).astype(np.float64)
     if not good.sum():
         return np.zeros(buckets, np.float32)
@@ -91,7 +91,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 total = np.concatenate([[0.0], np.cumsum(table[grams].sum(axis=1))])
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in kept), pa.array(total[first[1:]] - total[first[:-1]]), pa.array(np.diff(first))], [*kept, "log_weight", "n_grams"])
 
-    return docs.mapInArrow(score, common.wider(docs.schema, "log_weight double, n_grams long"))
+    return docs.mapInArrow(common.lean(score), common.wider(docs.schema, "log_weight double, n_grams long"))
 
 
 def kth_largest(keys: DataFrame, k: int, column: str, bins: int = 4096) -> tuple[float, int]:

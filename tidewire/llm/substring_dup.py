@@ -99,7 +99,7 @@ def chunks(docs: DataFrame, radius: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c.digest), pa.array(ids[lo:hi][c.row]), pa.array(c.again)], ["digest", "doc_id", "again"])
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "digest long, doc_id long, again boolean")
+    return rows.mapInArrow(common.lean(run), "digest long, doc_id long, again boolean")
 
 
 def cut(docs: DataFrame, repeats: DataFrame, radius: int, min_words: int) -> DataFrame:
@@ -152,7 +152,7 @@ def cut(docs: DataFrame, repeats: DataFrame, radius: int, min_words: int) -> Dat
 
     own = repeats.withColumnRenamed("doc_id", "_of")
     joined = docs.join(own, docs.doc_id.cast("long") == own["_of"], "left").drop("_of")
-    return joined.mapInArrow(run, common.wider(docs.schema, "removed_words int, removed_spans array<struct<start:int,end:int>>"))
+    return joined.mapInArrow(common.lean(run), common.wider(docs.schema, "removed_words int, removed_spans array<struct<start:int,end:int>>"))
 
 
 def dedup_substrings(docs: DataFrame, *, radius: int = 3, min_words: int = 18) -> DataFrame:

@@ -133,7 +133,7 @@ def count_tokens(docs: DataFrame, word_path: str, piece_path: str) -> DataFrame:
                 n = [pa.array([len(i) for i in ids], pa.int64()) for ids in (word.encode(rows), piece.ids(rows)[0])]
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in names), *n], [*names, "n_word", "n_piece"])
 
-    return docs.select(*names, "text").mapInArrow(run, common.wider(docs.select(*names).schema, "n_word long, n_piece long"))
+    return docs.select(*names, "text").mapInArrow(common.lean(run), common.wider(docs.select(*names).schema, "n_word long, n_piece long"))
 
 
 VERSIONS = {"word_bpe_49k": "n_word", "piece_bpe_32k": "n_piece"}

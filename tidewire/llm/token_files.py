@@ -250,7 +250,7 @@ def write_token_files(
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     dealt = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = f"{folder}/manifest"
-    dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").write.mode("overwrite").parquet(manifest)
+    dealt.mapInArrow(common.lean(write), "shard int, path string, n_docs long, n_tokens long").write.mode("overwrite").parquet(manifest)
     # starts: within blocks of shards first, then from block to block (a row for each 4,096 shards)
     rows = spark.read.parquet(manifest).withColumn("_block", F.shiftright("shard", 12))
     blocks = rows.groupBy("_block").agg(F.sum("n_tokens").alias("_n"))
@@ -276,7 +276,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([index["doc_id"].combine_chunks(), pa.array(first + start), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.select("path", "start").repartition(F.col("path"))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(common.lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
