@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP11_SQL, op11_decontamination
 from .embedding_dup import op9_embedding_dups
 from .language_id import op4_language_id
 from .mixing import OP6_SQL, op6_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_embedding_dups": op9_embedding_dups,
     "op10_token_files": op10_token_files,
+    "op11_decontamination": op11_decontamination,
 }
 
-ORACLE_SQL = {"op6_mixing": OP6_SQL}
+ORACLE_SQL = {"op6_mixing": OP6_SQL, "op11_decontamination": OP11_SQL}
