@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP11_SQL, op11_decontamination
 from .embedding_dup import op9_embedding_dups
 from .language_id import op4_language_id
+from .lexical import OP12_SQL, op12_lexical_search
 from .mixing import OP6_SQL, op6_mixing
 from .near_dup import op8_near_duplicates
 from .nearest import op5_nearest
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_embedding_dups": op9_embedding_dups,
     "op10_token_files": op10_token_files,
     "op11_decontamination": op11_decontamination,
+    "op12_lexical_search": op12_lexical_search,
 }
 
-ORACLE_SQL = {"op6_mixing": OP6_SQL, "op11_decontamination": OP11_SQL}
+ORACLE_SQL = {"op6_mixing": OP6_SQL, "op11_decontamination": OP11_SQL, "op12_lexical_search": OP12_SQL}
