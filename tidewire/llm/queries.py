@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .decontamination import OP11_SQL, op11_decontamination
 from .embedding_dup import op9_embedding_dups
 from .language_id import op4_language_id
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_decontamination": op11_decontamination,
     "op12_lexical_search": op12_lexical_search,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {"op6_mixing": OP6_SQL, "op11_decontamination": OP11_SQL, "op12_lexical_search": OP12_SQL}
