@@ -1,13 +1,14 @@
 """Alignment of two tokenizers' tokens (operator 13).
 
-Python only makes tokens: for each text, ids and byte ends by a byte-level BPE of the tokenizers library (A) and by a sentencepiece model (B). From there on
-everything is Spark's higher-order functions. Ends that both share (array_intersect) cut a text into groups; where a group's tokens lie in
-each list follows from sorting the list's ends together with the shared ones: the j-th shared end stands behind j others. A group is written as `a1,a2|b1`.
+Python only makes tokens: ids and byte ends of each text by a byte-level BPE of the tokenizers library (A) and by a sentencepiece model (B).
+It hands them over by blocks of texts, each distinct unit once: units are what both tokenizers keep apart (a word with the blank before it), a text is a list of its
+block's units, and a text that can't be cut is a unit. From there on everything is Spark's higher-order functions.
 
-What a group links depends on its ids alone, so links are built once for each distinct group: byte ends by a scan that doubles its reach
-(aggregate over sequence), a link for each end of either list (array_union), and the tokens that it lies in by sorting again. Counts of id pairs, and the
-highest of each B id, are sums over distinct groups times how often they stand in the corpus. A document's numbers are sums over its groups; distinct groups' numbers are broadcast
-while there are `most_broadcast` at most, else joined by shuffle.
+Units stand on end in a block. Ends that both tokenizers' lists share (array_intersect) cut them into groups; where a group's tokens lie in each list follows from sorting the list's ends together with
+the shared ones: the j-th shared end stands behind j others. A group is written as `a1,a2|b1`. What a group links depends on its ids alone, so links are built once for
+each distinct group of the corpus: byte ends by a scan that doubles its reach (aggregate over sequence), a link for each end of either list (array_union), and the tokens
+that it lies in by sorting again. Counts of id pairs, and the highest of each B id, are sums over distinct groups times how often they stand in the corpus. Numbers then come
+back to the blocks' units, and a text's are sums over its units; so no row for each token is ever shuffled.
 
 Defined results: null and empty texts, and those whose tokens' bytes differ from space + text (a text that holds U+2581, say), have no tokens: all numbers are 0 and
 the digest is ''; rows that share a doc_id, or have none, are documents of their own; an empty table gives no rows; texts of any length are
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from . import common
 from .pieces import PieceTable
-from .sentencepiece_io import BYTE, SPACE, codec_of, parse_model
+from .sentencepiece_io import BYTE, SPACE, codec_of, parse_model, units
 from .token_files import default_tokenizer
 
-#: The greatest table of distinct groups that is broadcast: 2^20 rows of a number of 64 bits and two sums.
-MOST_BROADCAST = 1 << 20
+#: A block has so many bytes of text, or one longer text.
+BLOCK_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- tokens and their bytes
@@ -76,7 +77,7 @@ def piece_tokens(path: str) -> list[bytes]:
 #: Of a byte of a text of ASCII and Latin letters: 0 white space, 1 letter, 2 digit, 3 anything else.
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[9, 10, 13, 32]], _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 1, 2, 1
-_SAFE = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+SAFE = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
 
 def byte_level_pieces(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,27 +131,30 @@ class ByteLevelEncoder:
         self.tokens = Vocabulary(byte_level_tokens(path))
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        # many pieces are one line, cut where bytes of each end; a line in which pieces don't stay apart is done piece by piece
-        out: list[np.ndarray] = []
-        lines = [pieces[k : k + 128] for k in range(0, len(pieces), 128)]
+        # pieces that begin with a blank stay apart in a line, and are cut where their bytes end
+        made: dict[str, np.ndarray] = {}
+        blank = [x for x in pieces if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+        odd = [x for x in pieces if not (len(x) > 1 and x[0] == " " and not x[1].isspace())]
+        lines = [blank[k : k + 128] for k in range(0, len(blank), 128)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast(["".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             ends, want = np.cumsum(self.tokens.size[ids]), np.cumsum([len(x.encode()) for x in line])
-            raw, off = common.utf8(pa.array(["".join(line)]))
-            starts, cuts, _ = byte_level_pieces(raw, off)
             at = np.searchsorted(ends, want)
-            if len(cuts) == len(want) and (cuts == want).all() and (ends[at] == want).all():
-                bounds = [0, *(at + 1).tolist()]
-                out += [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-            else:
-                out += [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
-        return out, np.zeros(len(out), bool)
+            if not (ends[at] == want).all():
+                raise ValueError("pieces can't be told apart in a line")
+            bounds = [0, *(at + 1).tolist()]
+            made.update(zip(line, (ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
+        made.update(zip(odd, (np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        return [made[x] for x in pieces], np.zeros(len(pieces), bool)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.plain and _SAFE.fullmatch(t) is not None for t in texts]
+        plain = [self.plain and SAFE.fullmatch(t) is not None for t in texts]
         raw, off = common.utf8(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()))
         found = iter(self.table.lookup(raw, *byte_level_pieces(raw, off))[0])
-        return [next(found) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) for t, p in zip(texts, plain, strict=True)]
+        return [next(found) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,34 +163,110 @@ def _encoders(byte_path: str, piece_path: str):  # noqa: ANN202
     return ByteLevelEncoder(byte_path), codec_of(piece_path, 1, check=False), Vocabulary(piece_tokens(piece_path))
 
 
+def _lists(rows: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
+    return pa.array(off.astype(np.int32)), (np.concatenate(rows) if rows else np.zeros(0)).astype(np.int32)
+
+
+class Block:
+    """The texts of a block as lists of units, and each distinct unit's tokens: `units` of each text (None: no tokens), `a` and `b` the ids of each unit."""
+
+    def __init__(self, texts: list[str], byte_level: ByteLevelEncoder, codec, b_words: Vocabulary):  # noqa: ANN001
+        self.units: list[np.ndarray | None] = [None] * len(texts)
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+        cut = byte_level.plain and codec.plain and codec.cuts is not None and codec.model.dummy_prefix and not codec.user
+        some = [k for k, t in enumerate(texts) if t and SPACE not in t]
+        safe = [k for k in some if cut and SAFE.fullmatch(texts[k])]
+        self._cut(texts, safe, byte_level, codec)
+        whole = sorted({*some} - {*safe})
+        for k, ids in zip(whole, codec.ids([texts[k] for k in whole])[0], strict=True):
+            self.units[k] = np.array([len(self.a)])
+            self.a.append(byte_level.whole(" " + texts[k]))
+            self.b.append(ids)
+        # a text whose tokens aren't its bytes has none
+        lossy = np.zeros(len(self.a), bool)
+        said = {int(self.units[k][0]): " " + texts[k] for k in whole}
+        for u, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+            if u in said:
+                lossy[u] = byte_level.tokens.joined(a).tobytes() != said[u].encode() or b_words.joined(b).tobytes() != said[u].encode()
+        n = len(self.a) - len(whole)
+        lossy[:n] = ~self._same(self.a[:n], byte_level.tokens) | ~self._same(self.b[:n], b_words)
+        if lossy.any():  # units of none but such texts go
+            self.units = [None if u is None or lossy[u].any() else u for u in self.units]
+            used = np.zeros(len(self.a), bool)
+            for u in self.units:
+                if u is not None:
+                    used[u] = True
+            number = np.cumsum(used) - 1
+            self.units = [None if u is None else number[u] for u in self.units]
+            self.a, self.b = ([x for x, keep in zip(ids, used, strict=True) if keep] for ids in (self.a, self.b))
+
+    def _cut(self, texts: list[str], which: list[int], byte_level: ByteLevelEncoder, codec) -> None:  # noqa: ANN001
+        raw, off = common.utf8(pa.array([" " + texts[k] for k in which], pa.string()))
+        a_start, a_end, _ = byte_level_pieces(raw, off)
+        b_start, b_end, _ = units(raw, off, codec.cuts)
+        start = np.intersect1d(a_start, b_start, assume_unique=True)
+        end = np.append(start[1:], len(raw))[: len(start)]
+        # equal units have equal bytes and equal cuts inside
+        value = common._BYTE[raw]
+        value[a_start] += np.uint64(0x9E3779B97F4A7C15)
+        value[b_start] += np.uint64(0xC2B2AE3D27D4EB4F)
+        base = 0xD1342543DE82EF95
+        h = common.mix(common.sums_over(value, start, end, base, pow(base, -1, 1 << 64)) + (end - start).astype(np.uint64))
+        _, one, number = np.unique(h, return_index=True, return_inverse=True)
+        first = np.searchsorted(start, off)
+        for k, lo, hi in zip(which, first[:-1], first[1:], strict=True):
+            self.units[k] = number[lo:hi]
+        self.bytes = [raw[lo:hi] for lo, hi in zip(start[one], end[one], strict=True)]
+        for into, table, s, e in ((self.a, byte_level.table, a_start, a_end), (self.b, codec.table, b_start, b_end)):
+            lo, n = np.searchsorted(s, start[one]), np.searchsorted(s, end[one]) - np.searchsorted(s, start[one])
+            ends = np.cumsum(n)
+            at = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+            into += table.lookup(raw, s[at], e[at], np.concatenate([[0], ends]))[0]
+
+    def _same(self, ids: list[np.ndarray], words: Vocabulary) -> np.ndarray:
+        """Whether each unit's tokens have the unit's bytes."""
+        if not ids:
+            return np.zeros(0, bool)
+        made, want = words.joined(np.concatenate(ids)), np.concatenate(self.bytes)
+        off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        sizes = np.concatenate([[0], np.cumsum(words.size[np.concatenate(ids)])])[off]
+        same = np.diff(sizes) == [len(x) for x in self.bytes]
+        if same.all():
+            differ = np.concatenate([[0], np.cumsum(made != want)])
+            return np.diff(differ[sizes]) == 0
+        return np.array([words.joined(i).tobytes() == x.tobytes() for i, x in zip(ids, self.bytes, strict=True)])
+
+
+TOKENS = "block long, docs array<struct<row:long, doc_id:long, n_a:long, n_b:long, units:array<int>>>, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, unit_ends array<int>"
+
+
 def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """(row, doc_id, a_ids, a_ends, b_ids, b_ends): ids and byte ends in space + text."""
+    """A row for each block: its texts as lists of units (numbers from 0), and of all distinct units on end: ids, byte ends of tokens, byte ends of units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_level, pieces, b_words = _encoders(byte_path, piece_path)
-        a_words = byte_level.tokens
+        byte_level, codec, b_words = _encoders(byte_path, piece_path)
         for b in batches:
             texts = common.strings(b.column("text"))
-            for lo, hi in common.slices(texts):
-                rows = texts[lo:hi].to_pylist()
-                spaced = [" " + t if t else "" for t in rows]
-                made = list(zip(byte_level.encode(spaced), pieces.ids(rows)[0], strict=True))
-                whole = [np.frombuffer(t.encode(), np.uint8) for t in spaced]
-                for k, ((x, y), w) in enumerate(zip(made, whole, strict=True)):
-                    if not (np.array_equal(a_words.joined(x), w) and np.array_equal(b_words.joined(y), w)):
-                        made[k] = x[:0], y[:0]
+            for lo, hi in common.slices(texts, BLOCK_BYTES):
+                block = Block(texts[lo:hi].to_pylist(), byte_level, codec, b_words)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 cols = []
-                for side, words in ((0, a_words), (1, b_words)):
-                    n = np.array([len(x[side]) for x in made])
-                    off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                    ids = np.concatenate([x[side] for x in made]).astype(np.int32)
-                    ends = np.concatenate([[0], np.cumsum(words.size[ids])])
-                    base = np.repeat(ends[off.to_numpy()[:-1]], n)
-                    cols += [pa.ListArray.from_arrays(off, pa.array(ids)), pa.ListArray.from_arrays(off, pa.array((ends[1:] - base).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([b.column("row")[lo:hi], b.column("doc_id")[lo:hi], *cols], ["row", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                for ids, words in ((block.a, byte_level.tokens), (block.b, b_words)):
+                    off, flat = _lists(ids)
+                    ends = np.cumsum(words.size[flat]).astype(np.int32)
+                    cols += [one(pa.array(flat)), one(pa.array(ends))]
+                unit_ends = ends[off.to_numpy()[1:] - 1]  # no unit is without tokens
+                size = [np.array([len(x) for x in ids], np.int64) for ids in (block.a, block.b)]
+                own = [np.zeros(0, np.int64) if u is None else u for u in block.units]
+                off, flat = _lists(own)
+                n = [pa.array([int(s[u].sum()) for u in own], pa.int64()) for s in size]
+                rows = pa.StructArray.from_arrays([b.column("row")[lo:hi], b.column("doc_id")[lo:hi], *n, pa.ListArray.from_arrays(off, pa.array(flat))], ["row", "doc_id", "n_a", "n_b", "units"])
+                yield pa.RecordBatch.from_arrays([b.column("row")[lo : lo + 1], one(rows), *cols, one(pa.array(unit_ends))], ["block", "docs", "a_ids", "a_ends", "b_ids", "b_ends", "unit_ends"])
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(common.lean(run), "row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return keyed.mapInArrow(common.lean(run, every=4), TOKENS)
 
 
 # ---------------------------------------------------------------- groups and links, in Spark
@@ -208,19 +288,37 @@ def counts_until(ends: Column, shared: Column) -> Column:
     return bound(F.sort_array(F.concat(ends, shared)), lambda s: _places(s, lambda v, i: v == F.get(s, i + 1), 1))
 
 
+def _before(until: str, j: Column) -> Column:
+    return F.when(j == 0, 0).otherwise(F.get(F.col(until), j - 1))
+
+
 def _group_text(j: Column) -> Column:
     def side(ids: str, until: str) -> Column:
-        before = F.when(j == 0, 0).otherwise(F.get(F.col(until), j - 1))
-        return F.array_join(F.slice(F.col(ids), before + 1, F.get(F.col(until), j) - before).cast("array<string>"), ",")
+        n = F.get(F.col(until), j) - _before(until, j)
+        return F.when(n == 1, F.get(F.col(ids), _before(until, j)).cast("string")).otherwise(F.array_join(F.slice(F.col(ids), _before(until, j) + 1, n).cast("array<string>"), ","))
 
     return F.concat(side("a_ids", "a_until"), F.lit("|"), side("b_ids", "b_until"))
 
 
+def _counts(docs: Column) -> Column:
+    """How often each unit stands in a block's texts; each does once at least, so the j-th number is that of unit j."""
+
+    def ends(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda v, i: F.when(v == F.get(s, i + 1), -1).otherwise(i)), lambda p: p >= 0)
+
+    every = F.sort_array(F.flatten(F.transform(docs, lambda d: d["units"])))
+    return bound(bound(every, ends), lambda last: F.transform(last, lambda p, j: p - F.when(j == 0, -1).otherwise(F.get(last, j - 1))))
+
+
 def groups(made: DataFrame) -> DataFrame:
-    """(row, doc_id, n_a, n_b, groups): the groups of each text, in order."""
+    """(block, docs, groups, counts): for each unit of a block its groups, and how often it stands in the block's texts."""
     shared = made.withColumn("shared", F.array_intersect("a_ends", "b_ends"))
-    cut = shared.withColumns({"a_until": counts_until(F.col("a_ends"), F.col("shared")), "b_until": counts_until(F.col("b_ends"), F.col("shared"))})
-    return cut.select("row", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.transform("a_until", lambda _, j: _group_text(j)).alias("groups"))
+    until = {f"{x}_until": counts_until(F.col(f"{x}_ends"), F.col("shared")) for x in "ab"} | {"group_until": counts_until(F.col("shared"), F.col("unit_ends"))}
+    of_unit = bound(
+        F.transform("a_until", lambda _, j: _group_text(j)),
+        lambda texts: F.transform("group_until", lambda e, u: F.slice(texts, _before("group_until", u) + 1, e - _before("group_until", u))),
+    )
+    return shared.withColumns(until).select("block", "docs", of_unit.alias("groups"), _counts(F.col("docs")).alias("counts"))
 
 
 def running(sizes: Column) -> Column:
@@ -259,29 +357,35 @@ def _sizes(words: list[bytes]) -> Column:
     return F.split(F.lit(",".join(str(len(w)) for w in words)), ",").cast("array<int>")
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(doc_id, n_a, n_b, groups, n_links, n_best, count_sum) of each document; groups as texts `a1,a2|b1`, in order."""
+def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document; groups as a text, `a1,a2|b1;a3|b2,b3`."""
     found = common.written(groups(tokens(docs, byte_path, piece_path)), "groups")
-    each = found.select("row", F.explode("groups").alias("group"))
-    kinds = common.written(each.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    each = found.select("block", F.inline(F.transform("groups", lambda g, u: F.struct(u.alias("unit"), F.get("counts", u).alias("n"), g.alias("of")))))
+    kinds = each.select("n", F.explode("of").alias("group")).groupBy("group").agg(F.sum("n").alias("n"))
     linked = common.written(links_of(kinds, _sizes(byte_level_tokens(byte_path)), _sizes(piece_tokens(piece_path))), "linked")
     pairs = linked.select("n", F.inline("links")).groupBy("a", "b").agg(F.sum("n").alias("count"))
     # an id of B meets the ids of A at most
     pairs = pairs.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy("b"))).cast("long"))
     by_kind = linked.select("group", F.inline("links")).join(pairs, ["a", "b"]).groupBy("group").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    by_kind = common.written(by_kind.withColumn("key", F.xxhash64("group")), "by-kind")
 
-    n, keys = by_kind.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
-    if n <= most_broadcast and keys == n:
-        valued = found.select("row", F.explode(F.transform("groups", lambda g: F.xxhash64(g))).alias("key")).join(F.broadcast(by_kind.drop("group")), "key")
-    else:
-        valued = each.join(by_kind, "group")
-    sums = valued.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_best", "count_sum")]
-    return found.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "groups", *zero)
+    sums = ["n_groups", "n_links", "n_best", "count_sum"]
+    valued = each.select("block", "unit", F.explode("of").alias("group")).join(by_kind.withColumn("n_groups", F.lit(1).cast("long")), "group")
+    by_unit = valued.groupBy("block", "unit").agg(*[F.sum(c).alias(c) for c in sums])
+    # a block's units at most, in order of their numbers
+    by_block = by_unit.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("unit", *sums))).alias("numbers"))
+
+    def total(units: Column) -> Column:
+        start = F.struct(*[F.lit(0).cast("long").alias(c) for c in sums])
+        return F.aggregate(units, start, lambda acc, u: bound(F.get("numbers", u), lambda x: F.struct(*[(acc[c] + x[c]).alias(c) for c in sums])))
+
+    def rows(texts: Column) -> Column:
+        said = lambda d: F.array_join(F.transform(d["units"], lambda u: F.get(texts, u)), ";")
+        return F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["units"]).alias("sums"), said(d).alias("groups")))
+
+    told = bound(F.transform("groups", lambda g: F.array_join(g, ";")), rows)
+    return found.join(by_block, "block", "left").select(F.inline(told)).select("doc_id", "n_a", "n_b", "sums.*", "groups")
 
 
 def op13_alignment(spark, sf_dir: str) -> DataFrame:
     found = align(common.documents(spark, sf_dir), default_tokenizer("byte_bpe_50k.json"), default_tokenizer("piece_bpe_32k.model"))
-    digest = F.when(F.size("groups") == 0, "").otherwise(F.sha2(F.array_join("groups", ";"), 256))
-    return found.select("doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
