@@ -34,7 +34,7 @@ from .sentencepiece_io import BYTE, SPACE, codec_of, parse_model, units
 from .token_files import default_tokenizer
 
 #: A block has so many bytes of text, or one longer text.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- tokens and their bytes
@@ -266,7 +266,7 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("row")[lo : lo + 1], one(rows), *cols, one(pa.array(unit_ends))], ["block", "docs", "a_ids", "a_ends", "b_ids", "b_ends", "unit_ends"])
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(common.lean(run, every=4), TOKENS)
+    return keyed.mapInArrow(common.lean(run, every=2), TOKENS)
 
 
 # ---------------------------------------------------------------- groups and links, in Spark
