@@ -35,6 +35,8 @@ from .token_files import default_tokenizer
 
 #: A block has so many bytes of text, or one longer text.
 BLOCK_BYTES = 1 << 20
+#: The greatest table of distinct groups that is broadcast, in rows of five numbers; a greater one is joined by shuffle.
+MOST_BROADCAST = 1 << 20
 
 
 # ---------------------------------------------------------------- tokens and their bytes
@@ -277,46 +279,50 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _places(ordered: Column, chosen: Callable[[Column, Column], Column], more: int) -> Column:
-    """For the k-th chosen element of a list, how many unchosen ones stand before it, plus `more`."""
-    at = F.filter(F.transform(ordered, lambda v, i: F.when(chosen(v, i), i).otherwise(-1)), lambda p: p >= 0)
-    return F.transform(at, lambda p, k: p - k + more)
+def _places(ordered: Column, chosen: Callable[[Column], Column], more: int) -> Column:
+    """For the k-th place of a list that is chosen, how many unchosen ones stand before it, plus `more`."""
+    some = F.slice(F.sequence(F.lit(0), F.size(ordered)), F.lit(1), F.size(ordered))
+    return F.transform(F.filter(some, chosen), lambda p, k: p - k + more)
 
 
 def counts_until(ends: Column, shared: Column) -> Column:
     """For each shared end, how many of `ends` aren't beyond it."""
-    return bound(F.sort_array(F.concat(ends, shared)), lambda s: _places(s, lambda v, i: v == F.get(s, i + 1), 1))
+    return bound(F.sort_array(F.concat(ends, shared)), lambda s: _places(s, lambda p: F.get(s, p) == F.get(s, p + 1), 1))
 
 
-def _before(until: str, j: Column) -> Column:
-    return F.when(j == 0, 0).otherwise(F.get(F.col(until), j - 1))
+def _from_zero(counts: Column) -> Column:
+    return F.concat(F.array(F.lit(0)), counts)
 
 
 def _group_text(j: Column) -> Column:
+    """The j-th group: a_until and b_until hold how many tokens stand before each group, and the end."""
+
     def side(ids: str, until: str) -> Column:
-        n = F.get(F.col(until), j) - _before(until, j)
-        return F.when(n == 1, F.get(F.col(ids), _before(until, j)).cast("string")).otherwise(F.array_join(F.slice(F.col(ids), _before(until, j) + 1, n).cast("array<string>"), ","))
+        before = F.get(F.col(until), j)
+        n = F.get(F.col(until), j + 1) - before
+        return F.when(n == 1, F.get(F.col(ids), before).cast("string")).otherwise(F.array_join(F.slice(F.col(ids), before + 1, n).cast("array<string>"), ","))
 
     return F.concat(side("a_ids", "a_until"), F.lit("|"), side("b_ids", "b_until"))
 
 
 def _counts(docs: Column) -> Column:
     """How often each unit stands in a block's texts; each does once at least, so the j-th number is that of unit j."""
+    every = F.sort_array(F.flatten(F.transform(docs, lambda d: d["units"])))
 
     def ends(s: Column) -> Column:
-        return F.filter(F.transform(s, lambda v, i: F.when(v == F.get(s, i + 1), -1).otherwise(i)), lambda p: p >= 0)
+        some = F.slice(F.sequence(F.lit(0), F.size(s)), F.lit(1), F.size(s))
+        return F.concat(F.array(F.lit(-1)), F.filter(some, lambda p: F.coalesce(F.get(s, p) != F.get(s, p + 1), F.lit(True))))
 
-    every = F.sort_array(F.flatten(F.transform(docs, lambda d: d["units"])))
-    return bound(bound(every, ends), lambda last: F.transform(last, lambda p, j: p - F.when(j == 0, -1).otherwise(F.get(last, j - 1))))
+    return bound(bound(every, ends), lambda last: F.transform(F.slice(last, F.lit(2), F.size(last)), lambda p, j: p - F.get(last, j)))
 
 
 def groups(made: DataFrame) -> DataFrame:
     """(block, docs, groups, counts): for each unit of a block its groups, and how often it stands in the block's texts."""
     shared = made.withColumn("shared", F.array_intersect("a_ends", "b_ends"))
-    until = {f"{x}_until": counts_until(F.col(f"{x}_ends"), F.col("shared")) for x in "ab"} | {"group_until": counts_until(F.col("shared"), F.col("unit_ends"))}
+    until = {f"{x}_until": _from_zero(counts_until(F.col(f"{x}_ends"), F.col("shared"))) for x in "ab"} | {"group_until": _from_zero(counts_until(F.col("shared"), F.col("unit_ends")))}
     of_unit = bound(
-        F.transform("a_until", lambda _, j: _group_text(j)),
-        lambda texts: F.transform("group_until", lambda e, u: F.slice(texts, _before("group_until", u) + 1, e - _before("group_until", u))),
+        F.transform("shared", lambda _, j: _group_text(j)),
+        lambda texts: F.transform("unit_ends", lambda _, u: F.slice(texts, F.get("group_until", u) + 1, F.get("group_until", u + 1) - F.get("group_until", u))),
     )
     return shared.withColumns(until).select("block", "docs", of_unit.alias("groups"), _counts(F.col("docs")).alias("counts"))
 
@@ -334,7 +340,7 @@ def running(sizes: Column) -> Column:
 def _token_of(cuts: Column, ends: Column) -> Column:
     """For each cut, the number (from 0) of the token whose bytes end there or beyond."""
     both = F.sort_array(F.concat(F.transform(cuts, lambda e: e * 2), F.transform(ends, lambda e: e * 2 + 1)))
-    return bound(both, lambda s: _places(s, lambda v, i: v % 2 == 0, 0))
+    return bound(both, lambda s: _places(s, lambda p: F.get(s, p) % 2 == 0, 0))
 
 
 def links_of(kinds: DataFrame, a_sizes: Column, b_sizes: Column) -> DataFrame:
@@ -357,7 +363,7 @@ def _sizes(words: list[bytes]) -> Column:
     return F.split(F.lit(",".join(str(len(w)) for w in words)), ",").cast("array<int>")
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+def align(docs: DataFrame, byte_path: str, piece_path: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document; groups as a text, `a1,a2|b1;a3|b2,b3`."""
     found = common.written(groups(tokens(docs, byte_path, piece_path)), "groups")
     each = found.select("block", F.inline(F.transform("groups", lambda g, u: F.struct(u.alias("unit"), F.get("counts", u).alias("n"), g.alias("of")))))
@@ -369,7 +375,13 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     by_kind = linked.select("group", F.inline("links")).join(pairs, ["a", "b"]).groupBy("group").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
     sums = ["n_groups", "n_links", "n_best", "count_sum"]
-    valued = each.select("block", "unit", F.explode("of").alias("group")).join(by_kind.withColumn("n_groups", F.lit(1).cast("long")), "group")
+    by_kind = common.written(by_kind.select("group", F.xxhash64("group").alias("key"), F.lit(1).cast("long").alias("n_groups"), "n_links", "n_best", "count_sum"), "by-kind")
+    n, keys = by_kind.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
+    if n == keys <= most_broadcast:
+        keyed = each.select("block", "unit", F.explode(F.transform("of", lambda g: F.xxhash64(g))).alias("key"))
+        valued = keyed.join(F.broadcast(by_kind.drop("group")), "key")
+    else:
+        valued = each.select("block", "unit", F.explode("of").alias("group")).join(by_kind.drop("key"), "group")
     by_unit = valued.groupBy("block", "unit").agg(*[F.sum(c).alias(c) for c in sums])
     # a block's units at most, in order of their numbers
     by_block = by_unit.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("unit", *sums))).alias("numbers"))
