@@ -450,3 +450,21 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert out.where("not parity").count() == 0
     kept = corpus_pipeline.near_dup_stage(spark, both, SF)
     assert kept.where("doc_id is null").count() == 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_nearest_defaults_find_neighbours_of_the_stored_tables(spark, sf):
+    found = nearest.op5_nearest(spark, f"/root/testdata/{sf}")
+    rows = [r for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding]
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    best = {}
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        order = np.lexsort((ids, d))
+        best[int(q)] = set(ids[order][ids[order] != q][:10].tolist())
+    got = found.collect()
+    hits = sum(r.vec_id in best[r.query_id] for r in got)
+    share = sum({r.query_id: r.verified for r in got}.values()) / (len(best) * len(ids))
+    print(sf, hits, sum(map(len, best.values())), round(share, 3))
+    assert hits >= 0.95 * sum(map(len, best.values()))
+    assert share < 0.9 or len(ids) < 2000

@@ -161,7 +161,7 @@ def _links(heads: DataFrame, threshold: float, pivots: int | None, nearest: int
                 near = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), nearest).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "size", "embedding")), near], ["class", "size", "embedding", "near"])
 
-    described = common.written(heads.select("class", "size", "embedding").mapInArrow(common.lean(describe), "class long, size long, embedding array<float>, near array<int>"), "permutations")
+    described = common.written(heads.select("class", "size", "embedding").mapInArrow(common.lean(describe), f"class long, size long, embedding {dict(heads.dtypes)['embedding']}, near array<int>"), "permutations")
     # the greatest pivots of a vector are no pair's least shared one
     posted = described.select("class", F.explode(F.slice("near", 1, nearest - shared + 1)).alias("list"))
     long_ = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # a row for each pivot at most

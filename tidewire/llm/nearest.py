@@ -158,7 +158,7 @@ class Shard:
             ids, dist = ids[best], dist[best]
 
 
-def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, dims: int = 24, sure: float = 0.8, shard_rows: int = 4096, block: int = 64, sample: int = 65_536) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, dims: int = 24, sure: float = 0.93, shard_rows: int = 4096, block: int = 64, sample: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score, verified) for rows that `queries` holds for, against all rows of (vec_id, embedding).
 
     score is the Euclidean distance in double precision; verified says how many vectors the query was held against.
@@ -166,7 +166,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, dims: int = 24,
     if dims % 2:
         raise ValueError("dims must be even")
     base = vectors.where(usable() & F.col("vec_id").isNotNull()).withColumn("_asks", F.coalesce(queries, F.lit(False)))
-    base = base.groupBy(F.col("vec_id").cast("long").alias("vec_id"), "embedding").agg(F.max("_asks").alias("asks"))
+    base = base.groupBy(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).agg(F.max("_asks").alias("asks"))
     base = common.written(base, "vectors")
     parts = [_of_length(base.where(F.size("embedding") == n), n, k, dims, sure, shard_rows, block, sample) for n in lengths(base)]
     out = parts[0] if parts else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, verified long")
@@ -185,7 +185,9 @@ def _of_length(base: DataFrame, length: int, k: int, dims: int, sure: float, sha
     rows = base.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n")
     n = base.count()
     depth = max(0, math.ceil(math.log2(max(1, min(MOST_SHARDS, n / shard_rows)))))
-    part = base.select("embedding").where(F.lit(depth > 0)).where(common.unit("vec_id", "embedding", seed=5) < 1.1 * sample / max(n, 1)).limit(sample)
+    chance = common.unit("vec_id", "embedding", seed=5)
+    # the rows with the least hashes, whatever the partitions
+    part = base.where(F.lit(depth > 0)).select("embedding", chance.alias("u")).where(F.col("u") < 1.1 * sample / max(n, 1)).orderBy("u", "embedding").limit(sample)
     levels = splits(_project(part.collect(), project), depth) if depth else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,7 @@ def _of_length(base: DataFrame, length: int, k: int, dims: int, sure: float, sha
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(shard_of(matrix(b.column("embedding")) @ project, levels)), *(b.column(c) for c in ("vec_id", "embedding"))], ["shard", "vec_id", "embedding"])
 
-    dealt = rows.select("vec_id", "embedding").mapInArrow(common.lean(deal), "shard long, vec_id long, embedding array<float>")
+    dealt = rows.select("vec_id", "embedding").mapInArrow(common.lean(deal), "shard long, vec_id long, embedding array<double>")
     index = common.written(_packed(dealt, "shard", "own", min(1 << depth, 4000), 1 << 40, project), "index")
     boxes = np.array([(r.shard, *r.low, *r.high) for r in index.select("shard", "low", "high").collect()]).reshape(-1, 1 + 2 * dims)  # MOST_SHARDS rows at most
     shards, low, high = boxes[:, 0].astype(np.int64), boxes[:, 1 : 1 + dims], boxes[:, 1 + dims :]
@@ -222,9 +224,9 @@ def _of_length(base: DataFrame, length: int, k: int, dims: int, sure: float, sha
             for key, ids, own, qi, qv, qb in zip(*(b.column(c) for c in ("shard", "own_ids", "own_vectors", "query_ids", "query_vectors", "query_bounds")), strict=True):
                 if key.as_py() != now:
                     now = key.as_py()
-                    shard = Shard(np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.float32).reshape(-1, length).astype(np.float64), project)
+                    shard = Shard(np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.float64).reshape(-1, length), project)
                 out = []
-                for i, q, bound in zip(np.frombuffer(qi.as_buffer(), np.int64), np.frombuffer(qv.as_buffer(), np.float32).reshape(-1, length).astype(np.float64), np.frombuffer(qb.as_buffer()), strict=True):
+                for i, q, bound in zip(np.frombuffer(qi.as_buffer(), np.int64), np.frombuffer(qv.as_buffer(), np.float64).reshape(-1, length), np.frombuffer(qb.as_buffer()), strict=True):
                     before = shard.verified
                     found, dist = shard.search(int(i), q, k, stop, float(bound))
                     cost = np.zeros(len(found), np.int64)
@@ -233,7 +235,7 @@ def _of_length(base: DataFrame, length: int, k: int, dims: int, sure: float, sha
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score", "verified"])
 
     def searched(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(common.lean(route(first)), "shard long, vec_id long, embedding array<float>, bound double")
+        sent = asked.mapInArrow(common.lean(route(first)), "shard long, vec_id long, embedding array<double>, bound double")
         blocks = _packed(sent.withColumn("_b", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(max(1, n // 100 // (block * 4))))), "shard", "query", min(1 << depth, 4000), block, None, "_b")
         met = index.join(blocks, "shard").sortWithinPartitions("shard").select("shard", "own_ids", "own_vectors", "query_ids", "query_vectors", "query_bounds")
         return common.written(met.mapInArrow(common.lean(search), "query_id long, vec_id long, score double, verified long"), "near")
@@ -251,7 +253,7 @@ def _project(rows: list, project: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, key: str, what: str, parts: int, most: int, project: np.ndarray | None, salt: str | None = None) -> DataFrame:
-    """Rows of a key as arrays: <what>_ids, <what>_vectors (32-bit), and either their box (with `project`) or <what>_bounds; `most` rows in a row at most."""
+    """Rows of a key as arrays: <what>_ids, <what>_vectors (64-bit), and either their box (with `project`) or <what>_bounds; `most` rows in a row at most."""
     width = 0 if project is None else project.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +262,7 @@ def _packed(rows: DataFrame, key: str, what: str, parts: int, most: int, project
 
         def row() -> pa.RecordBatch:
             ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            columns = [pa.array([now], pa.int64()), pa.array([ids.tobytes()]), pa.array([x.astype(np.float32).tobytes()])]
+            columns = [pa.array([now], pa.int64()), pa.array([ids.tobytes()]), pa.array([x.astype(np.float64).tobytes()])]
             if width:
                 y = x @ project
                 return pa.RecordBatch.from_arrays([*columns, pa.array([y.min(axis=0)]), pa.array([y.max(axis=0)])], [key, f"{what}_ids", f"{what}_vectors", "low", "high"])
