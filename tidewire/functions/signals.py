@@ -171,10 +171,17 @@ def temporal(text: Column) -> Column:
 # ---------------------------------------------------------------- what kind of news
 
 
-def developments(text: Column, kinds: dict[str, list[str]] = lex.DEVELOPMENTS) -> Column:
+def development_patterns(kinds: dict[str, list[tuple[list[str], list[str]]]] = lex.DEVELOPMENTS) -> dict[str, str]:
+    """A pattern for each development: a word of a pair's first list, and within three words one of its second. 'rises to' asks for a number."""
+    word = lambda w: w[:-1] + r"\w*" if w.endswith("-") else w
+    some = lambda ws: "(?:" + "|".join(map(word, ws)) + ")"
+    pair = lambda a, b: rf"\b{some(a)}\b" + (r"\s+to\s+\d" if b == ["to"] else rf"(?:\s+\w+){{0,2}}?\s+{some(b)}\b" if b else "")
+    return {name: "(?i)" + "|".join(pair(a, b) for a, b in pairs) for name, pairs in kinds.items()}
+
+
+def developments(text: Column, kinds: dict[str, list[tuple[list[str], list[str]]]] = lex.DEVELOPMENTS) -> Column:
     """Names of the developments that the text reports."""
-    one = lambda p: rf"\b{p}" if p.endswith(r"\d") else rf"\b{p}\b"
-    return F.array_compact(F.array(*(F.when(whole(text).rlike("(?i)" + "|".join(map(one, ps))), F.lit(name)) for name, ps in kinds.items())))
+    return F.array_compact(F.array(*(F.when(whole(text).rlike(p), F.lit(name)) for name, p in development_patterns(kinds).items())))
 
 
 def reaction(text: Column) -> Column:

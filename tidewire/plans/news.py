@@ -63,7 +63,7 @@ def hygienic_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 _CLAIMS = ", ".join(
     f"CASE WHEN regexp_matches(title, '(?i)\\b(?:{claim})\\b') AND NOT regexp_matches(summary, '(?i)\\b(?:{claim})\\b') AND regexp_matches(summary, '(?i)\\b(?:{other})\\b') THEN '{name}' END"
-    for name, claim, other in facts.CLAIMS if claim
+    for name, claim, other in facts.CLAIMS
 )
 
 
@@ -140,7 +140,7 @@ _LIST = "array_to_string(list_sort(list_distinct({})), ',')"
 @query(S + rf""", t AS (SELECT id, replace(title || ' ' || summary, '’', '''') AS t FROM stories)
  SELECT id, {_LIST.format("list_filter(list_transform(list_filter(regexp_extract_all(regexp_replace(t, '([a-zA-Z])', '\\1\\1', 'g'), '[a-zA-Z]?[0-9][0-9,.]*[a-zA-Z]?'), lambda x: NOT regexp_matches(x, '[a-zA-Z]')), lambda x: regexp_replace(x, '[^0-9.]', '', 'g')), lambda x: TRY_CAST(x AS DOUBLE) IS NOT NULL AND NOT TRY_CAST(x AS DOUBLE) BETWEEN 1900 AND 2100)")} AS numbers,
  {_LIST.format("list_transform(regexp_extract_all(t, '(?i)\\b(?:storm|typhoon|hurricane|cyclone)\\s+([a-z][a-z''-]+)\\b', 1), lambda x: lower(x))")} AS storms, {_LIST.format("list_transform(regexp_extract_all(t, " + _re(lex.TEMPORAL) + "), lambda x: lower(regexp_replace(x, '\\s+', ' ', 'g')))")} AS temporal,
- regexp_matches(t, {_re(rf"(?i)\b(?:{_any(lex.REACTIONS)})\b")}) AS reaction, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, {_re('(?i)' + _any((chr(92) + 'b' + p + ('' if p.endswith(chr(92) + 'd') else chr(92) + 'b')) for p in ps))}) THEN '{n}' END" for n, ps in lex.DEVELOPMENTS.items())}], lambda x: x IS NOT NULL)), ',') AS developments FROM t""")
+ regexp_matches(t, {_re(rf"(?i)\b(?:{_any(lex.REACTIONS)})\b")}) AS reaction, array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, {_re(p)}) THEN '{n}' END" for n, p in sg.development_patterns().items())}], lambda x: x IS NOT NULL)), ',') AS developments FROM t""")
 def story_signals(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat("title", F.lit(" "), "summary")
     flat = lambda x: F.array_join(F.array_sort(x), ",")
