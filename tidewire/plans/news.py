@@ -13,7 +13,7 @@ from ..functions import signals as sg
 from ..functions import text as tx
 from ..operators import leaders, narrative, state
 from ..sources.tables import stories, table
-from ..streaming import event_memory
+from ..streaming import event_memory, publisher
 from .queries import ORACLE_SQL, QUERIES, S, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -244,3 +244,18 @@ def memory_audit(spark: SparkSession, d: str) -> DataFrame:
 def _memory_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _signalled(spark, d).select(F.col("id").cast("string").alias("id"), F.col("id").cast("long").alias("seq"), "source", F.lit(False).alias("discovery"), "s.dev", "s.reaction", *(f"s.{c}" for c in event_memory.SETS))
     return rows
+
+
+# ---------------------------------------------------------------- publishing
+
+
+@query(None)
+def published_events(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the queue of one channel: fresh for two hours and as many minutes as their value says, some failing (by their props). The tests hold the operator against a walk round by round."""
+    e = table(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    k = F.get_json_object("props", "$.k").cast("int")
+    fails = F.when(k < 5, 5).when(k < 20, 1).otherwise(0)
+    queue = e.select(F.lit("news").alias("channel"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("key"), at.alias("scheduled"), (at + 7200 + 60 * F.col("value")).alias("until"), fails.alias("fails"))
+    done = publisher.publish(queue, publisher.Limits(gap=600, per_hour=4, per_day=40))
+    return done.select(F.col("key").cast("long").alias("event_id"), "outcome", F.col("posted").cast("long").alias("posted_s"), "attempts")
