@@ -12,7 +12,8 @@ from ..functions import hygiene as hy
 from ..functions import signals as sg
 from ..functions import text as tx
 from ..operators import leaders, narrative, state
-from ..sources.tables import stories, table
+from ..sources import feeds
+from ..sources.tables import stories, table, with_times
 from ..streaming import event_memory, publisher
 from .queries import ORACLE_SQL, QUERIES, S, query
 
@@ -259,3 +260,33 @@ def published_events(spark: SparkSession, d: str) -> DataFrame:
     queue = e.select(F.lit("news").alias("channel"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("key"), at.alias("scheduled"), (at + 7200 + 60 * F.col("value")).alias("until"), fails.alias("fails"))
     done = publisher.publish(queue, publisher.Limits(gap=600, per_hour=4, per_day=40))
     return done.select(F.col("key").cast("long").alias("event_id"), "outcome", F.col("posted").cast("long").alias("posted_s"), "attempts")
+
+
+# ---------------------------------------------------------------- feeds
+
+_NOW = "2024-01-20 00:00:00"
+_FED = S + rf""", t AS (SELECT id, title, summary, coalesce(source, 'none') || '-' || CAST(id // 32 % 4 AS VARCHAR) AS feed, id // 32 AS file, date_trunc('second', ts) AS moment FROM stories JOIN events ON id = event_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY feed, file ORDER BY id) AS n FROM t),
+ f AS (SELECT *, CASE WHEN moment > TIMESTAMP '{_NOW}' AND moment <= TIMESTAMP '{_NOW}' + INTERVAL 15 MINUTE THEN TIMESTAMP '{_NOW}' ELSE moment END AS eff FROM r),
+ i AS (SELECT *, n <= 25 AND title <> '' AND eff BETWEEN TIMESTAMP '{_NOW}' - INTERVAL 480 HOUR AND TIMESTAMP '{_NOW}' AS recent FROM f)
+"""
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Stories as files of feeds (four a source, RSS or Atom, each file of up to 32 stories), scanned."""
+    rows = with_times(stories(spark, d), table(spark, d, "events"))
+    rows = rows.withColumn("url", F.concat(F.lit("https://news.example/?a=1&id="), F.col("id"))).withColumn("order", F.col("id"))
+    file = F.floor(F.col("id") / 32)
+    feed = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), (file % 4).cast("string"))
+    files = feeds.files_of(rows, feed, file, file % 2 == 1)
+    return feeds.scan(files, F.lit(_NOW).cast("timestamp"), max_age_hours=480)
+
+
+@query(_FED + " SELECT feed AS source, 'https://news.example/?a=1&id=' || CAST(id AS VARCHAR) AS url, title, trim(summary) AS summary, CAST(epoch(eff) AS BIGINT) AS effective_s FROM i WHERE recent")
+def feed_items(spark: SparkSession, d: str) -> DataFrame:
+    return _scanned(spark, d).select("feed", F.inline("items")).select(F.col("feed").alias("source"), "url", "title", "summary", F.unix_seconds("effective").alias("effective_s"))
+
+
+@query(_FED + " SELECT feed AS source, count(DISTINCT file) AS files, count(*) AS entries_seen, count(*) FILTER (recent) AS recent_entries, CAST(0 AS BIGINT) AS failed FROM i GROUP BY feed")
+def feed_health(spark: SparkSession, d: str) -> DataFrame:
+    return feeds.health(_scanned(spark, d)).drop("error")
