@@ -11,7 +11,7 @@ from ..functions import facts
 from ..functions import hygiene as hy
 from ..functions import signals as sg
 from ..functions import text as tx
-from ..operators import leaders, narrative, state
+from ..operators import leaders, narrative, same_event, state
 from ..sources import feeds
 from ..sources.tables import stories, table, with_times
 from ..streaming import event_memory, publisher
@@ -290,3 +290,9 @@ def feed_items(spark: SparkSession, d: str) -> DataFrame:
 @query(_FED + " SELECT feed AS source, count(DISTINCT file) AS files, count(*) AS entries_seen, count(*) FILTER (recent) AS recent_entries, CAST(0 AS BIGINT) AS failed FROM i GROUP BY feed")
 def feed_health(spark: SparkSession, d: str) -> DataFrame:
     return feeds.health(_scanned(spark, d)).drop("error")
+
+
+@query(None)
+def same_event_groups(spark: SparkSession, d: str) -> DataFrame:
+    """All stories with times, grouped by events; the tests hold the operator against a walk."""
+    return same_event.groups(with_times(stories(spark, d), table(spark, d, "events")))
