@@ -51,3 +51,34 @@ def argmax(rows: DataFrame, key: str, value: str, *order: str, descending: bool
     """The row of each key with the greatest value; ties by `order`."""
     first = F.desc(value) if descending else F.asc(value)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(first, *order))).where("_n = 1").drop("_n")
+
+
+#: What an audit advises of a source: the first row of conditions that holds, on its numbers. Each condition is (number, at least, below); None leaves a side open.
+ADVICE = [
+    ("unreachable", [("success_rate", None, 0.5), ("attempts", 3, None)]),
+    ("silent", [("fetched", None, 1)]),
+    ("unused", [("fetched", 5, None), ("useful", None, 1)]),
+    ("mostly repeats", [("fetched", 5, None), ("duplicate_rate", 0.5, None)]),
+    ("weak", [("fetched", 5, None), ("useful_rate", None, 0.2)]),
+    ("keep", []),
+]
+
+
+def contributions(sources: DataFrame, advice: list = ADVICE) -> DataFrame:
+    """Rows of sources (name, attempts, successes, fetched, useful, duplicates) with their rates (null where nothing was tried or fetched), advice by the first row that holds, and their place by what they contribute.
+
+    The place is a rank over useful, from counts: sources with one number share a window of their own no more than ties do. A null rate meets no condition.
+    """
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    rows = sources.withColumns({"success_rate": rate("successes", "attempts"), "useful_rate": rate("useful", "fetched"), "duplicate_rate": rate("duplicates", "fetched")})
+    said = F.lit(None).cast("string")
+    for name, needs in reversed(advice):
+        met = F.lit(True)
+        for number, least, below in needs:
+            x = F.col(number)
+            met = met & (F.lit(True) if least is None else x >= least) & (F.lit(True) if below is None else x < below)
+        said = F.when(met, F.lit(name)).otherwise(said)
+    # places from how many sources have each number of useful stories: a table of distinct numbers, not of sources
+    counts = rows.groupBy("useful").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.withColumn("place", F.sum("_n").over(Window.orderBy(F.desc("useful"))) - F.col("_n") + 1).drop("_n")
+    return rows.withColumn("advice", said).join(ahead, "useful")

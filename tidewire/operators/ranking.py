@@ -13,6 +13,26 @@ def queue(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
 
+def postable(stories: DataFrame, now: Column, not_news: DataFrame, *, hours: float = 6, most: int = 50) -> DataFrame:
+    """Candidates for a post: stories (effective_at, source) from now back to `hours`, of sources that bring news, the newest `most` (ties: smaller id).
+
+    not_news (source): sources that never give posts. A story without a time or from the future is none; one without source is. The limit is the feature: each task keeps its own first, and those meet.
+    """
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("effective_at").cast("timestamp"))
+    fresh = stories.where(age.between(0, F.lit(int(hours * 3_600_000_000))))
+    return queue(fresh.join(not_news.select("source").distinct(), "source", "left_anti"), most, F.desc("effective_at"), F.asc("id"))
+
+
+def shortlists(rows: DataFrame, kind: str, most: dict[str, int], *order: Column) -> DataFrame:
+    """The first rows of each kind, as many as `most` says, with their place from 1; other kinds and null give none. Each kind is a limit of its own, so none is gathered whole."""
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+    first = [queue(rows.where(F.col(kind) == k), n, *order) for k, n in most.items()]
+    out = first[0]
+    for x in first[1:]:
+        out = out.unionByName(x)
+    return out.withColumn("place", place)
+
+
 def sentence_rows(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, pos, sentence), pos from 0."""
     return docs.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))

@@ -11,11 +11,11 @@ from ..functions import facts
 from ..functions import hygiene as hy
 from ..functions import signals as sg
 from ..functions import text as tx
-from ..operators import leaders, narrative, same_event, state
+from ..operators import audit, leaders, narrative, ranking, same_event, state
 from ..sources import feeds
 from ..sources.tables import stories, table, with_times
 from ..streaming import event_memory, publisher
-from .queries import ORACLE_SQL, QUERIES, S, query
+from .queries import _SCORE, ORACLE_SQL, QUERIES, S, _scored, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -296,3 +296,67 @@ def feed_health(spark: SparkSession, d: str) -> DataFrame:
 def same_event_groups(spark: SparkSession, d: str) -> DataFrame:
     """All stories with times, grouped by events; the tests hold the operator against a walk."""
     return same_event.groups(with_times(stories(spark, d), table(spark, d, "events")))
+
+
+# ---------------------------------------------------------------- choice and audit
+
+_QUALITY = """q AS (SELECT source, avg(quality) AS share FROM documents JOIN labels USING (doc_id) GROUP BY source), bad AS (SELECT source FROM q WHERE share < 0.5)"""
+
+
+def _not_news(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of whose labelled documents less than half are good."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("share"))
+    return rows.where("share < 0.5").select("source")
+
+
+@query(S + f""", {_QUALITY}, t AS (SELECT id, source, ts FROM stories JOIN events ON id = event_id), n AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM t)
+ SELECT id, source FROM t, n WHERE ts BETWEEN now - INTERVAL 6 HOUR AND now AND (source IS NULL OR source NOT IN (SELECT source FROM bad WHERE source IS NOT NULL)) ORDER BY ts DESC, id LIMIT 50""")
+def post_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Stories of the six hours before an hour ago, of sources that bring news."""
+    rows = with_times(stories(spark, d), table(spark, d, "events"))
+    now = F.lit(rows.agg(F.max("effective_at")).first()[0]) - F.expr("INTERVAL 1 HOUR")
+    return ranking.postable(rows, now, _not_news(spark, d)).select("id", "source")
+
+
+@query("""WITH t AS (SELECT doc_id AS id, CASE WHEN l.quality = 1 AND toxic = 0 THEN 'queued' WHEN l.doc_id IS NULL THEN 'held' ELSE 'rejected' END AS kind, coalesce(n_chars, 0) AS n FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, id) AS place FROM t) SELECT kind, CAST(place AS INTEGER) AS place, id FROM r WHERE place <= CASE kind WHEN 'queued' THEN 5 ELSE 30 END""")
+def run_shortlists(spark: SparkSession, d: str) -> DataFrame:
+    """Of a run: five queued stories, thirty held and thirty rejected ones, the longest first."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"), F.lit(True).alias("known"))
+    kind = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "queued").when(F.col("known").isNull(), "held").otherwise("rejected")
+    rows = table(spark, d, "documents").join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), kind.alias("kind"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    return ranking.shortlists(rows, "kind", {"queued": 5, "held": 30, "rejected": 30}, F.desc("n"), F.asc("id")).select("kind", "place", "id")
+
+
+@query(f"""WITH s AS ({ORACLE_SQL['story_sectors']}), r AS ({ORACLE_SQL['story_regions']}), e AS ({ORACLE_SQL['editorial_reasons']}), c AS ({S} SELECT id, CAST({_SCORE} AS INTEGER) AS score, tier = 4 AS discovery FROM toks)
+ SELECT id, s.top AS sector, s.sub AS sub_sector, r.top AS region, r.sub AS sub_region, score, reason IS NULL AS editorial_pass, discovery, score < CASE WHEN discovery THEN 70 ELSE 55 END AS below_score FROM s JOIN r USING (id) JOIN e USING (id) JOIN c USING (id)""")
+def article_classes(spark: SparkSession, d: str) -> DataFrame:
+    """What the audit says of each article: sector, region, score, whether it passes, and whether its score is below the bound (70 for the last tier, else 55)."""
+    rows = _scored(spark, d)
+    found = rows.select(
+        "id", cl.sector(F.col("title"), F.col("summary"), F.lit("world"), SECTORS, TOP_OF, ("world",)).alias("s"), cl.region(F.col("title"), F.col("summary"), REGIONS).alias("r"),
+        cl.rejection(F.col("title"), F.col("summary"), EDITORIAL).isNull().alias("editorial_pass"), F.col("score").cast("int").alias("score"), (F.col("tier") == 4).alias("discovery"),
+    )
+    below = F.col("score") < F.when(F.col("discovery"), 70).otherwise(55)
+    return found.select("id", F.col("s.top").alias("sector"), F.col("s.sub").alias("sub_sector"), F.col("r.top").alias("region"), F.col("r.sub").alias("sub_region"), "score", "editorial_pass", "discovery", below.alias("below_score"))
+
+
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), t AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS name, d.doc_id, l.quality, l.toxic, d.text IS NOT NULL AS ok, row_number() OVER (PARTITION BY text ORDER BY d.doc_id) > 1 AS again FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id),
+ s AS (SELECT name, count(*) AS attempts, count(*) FILTER (ok) AS successes, count(*) FILTER (quality IS NOT NULL) AS fetched, count(*) FILTER (quality = 1 AND toxic = 0) AS useful, count(*) FILTER (again AND quality IS NOT NULL) AS duplicates FROM t GROUP BY name),
+ r AS (SELECT *, successes / attempts AS sr, CASE WHEN fetched > 0 THEN useful / fetched END AS ur, CASE WHEN fetched > 0 THEN duplicates / fetched END AS dr FROM s)
+ SELECT name, useful, round(ur, 6) AS useful_rate, round(dr, 6) AS duplicate_rate, CASE WHEN sr < 0.5 AND attempts >= 3 THEN 'unreachable' WHEN fetched < 1 THEN 'silent' WHEN fetched >= 5 AND useful < 1 THEN 'unused' WHEN fetched >= 5 AND dr >= 0.5 THEN 'mostly repeats' WHEN fetched >= 5 AND ur < 0.2 THEN 'weak' ELSE 'keep' END AS advice,
+ rank() OVER (ORDER BY useful DESC) AS place FROM r""")
+def source_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """Sources by language: labelled documents are fetched ones, good ones useful, later ones of one text duplicates."""
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, d, "documents").withColumn("digest", F.sha2(F.col("text"), 256))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    rows = docs.join(first, docs["digest"].eqNullSafe(first["digest"])).drop(first["digest"]).join(labels, "doc_id", "left")
+    name = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    known = F.col("quality").isNotNull()
+    sources = rows.groupBy(name.alias("name")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count("text").alias("successes"), F.count_if(known).alias("fetched"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("useful"),
+        F.count_if(known & (F.col("doc_id") > F.col("first"))).alias("duplicates"),
+    )
+    out = audit.contributions(sources)
+    return out.select("name", "useful", F.round("useful_rate", 6).alias("useful_rate"), F.round("duplicate_rate", 6).alias("duplicate_rate"), "advice", "place")
