@@ -34,7 +34,9 @@ from .sentencepiece_io import BYTE, SPACE, codec_of, parse_model, units
 from .token_files import default_tokenizer
 
 #: A block has so many bytes of text, or one longer text.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Pieces of text that each encoder remembers.
+CACHED = 200_000
 #: The greatest table of distinct groups that is broadcast, in rows of five numbers; a greater one is joined by shuffle.
 MOST_BROADCAST = 1 << 20
 
@@ -161,8 +163,10 @@ class ByteLevelEncoder:
 
 @functools.lru_cache(maxsize=2)
 def _encoders(byte_path: str, piece_path: str):  # noqa: ANN202
-    """One pair for each Python worker: its caches serve the worker's later tasks too."""
-    return ByteLevelEncoder(byte_path), codec_of(piece_path, 1, check=False), Vocabulary(piece_tokens(piece_path))
+    """One pair for each Python worker: its caches serve the worker's later tasks too. Both are smaller than a single encoder's, for a worker holds two."""
+    codec = codec_of(piece_path, 1, check=False)
+    codec.table.most = CACHED
+    return ByteLevelEncoder(byte_path, CACHED), codec, Vocabulary(piece_tokens(piece_path))
 
 
 def _lists(rows: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
