@@ -367,8 +367,8 @@ def _sizes(words: list[bytes]) -> Column:
     return F.split(F.lit(",".join(str(len(w)) for w in words)), ",").cast("array<int>")
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document; groups as a text, `a1,a2|b1;a3|b2,b3`."""
+def align(docs: DataFrame, byte_path: str, piece_path: str, told: Callable[[Column], Column] = lambda text: text, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document; groups as a text, `a1,a2|b1;a3|b2,b3`, or what `told` makes of it; that is made before blocks meet their numbers, so a digest travels and not the text."""
     found = common.written(groups(tokens(docs, byte_path, piece_path)), "groups")
     each = found.select("block", F.inline(F.transform("groups", lambda g, u: F.struct(u.alias("unit"), F.get("counts", u).alias("n"), g.alias("of")))))
     kinds = each.select("n", F.explode("of").alias("group")).groupBy("group").agg(F.sum("n").alias("n"))
@@ -394,14 +394,16 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, most_broadcast: int
         start = F.struct(*[F.lit(0).cast("long").alias(c) for c in sums])
         return F.aggregate(units, start, lambda acc, u: bound(F.get("numbers", u), lambda x: F.struct(*[(acc[c] + x[c]).alias(c) for c in sums])))
 
-    def rows(texts: Column) -> Column:
-        said = lambda d: F.array_join(F.transform(d["units"], lambda u: F.get(texts, u)), ";")
-        return F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["units"]).alias("sums"), said(d).alias("groups")))
+    def said(texts: Column) -> Column:
+        text = lambda d: F.array_join(F.transform(d["units"], lambda u: F.get(texts, u)), ";")
+        return F.transform("docs", lambda d: F.struct(*(d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "units")), bound(text(d), told).alias("groups")))
 
-    told = bound(F.transform("groups", lambda g: F.array_join(g, ";")), rows)
-    return found.join(by_block, "block", "left").select(F.inline(told)).select("doc_id", "n_a", "n_b", "sums.*", "groups")
+    rows = found.select("block", bound(F.transform("groups", lambda g: F.array_join(g, ";")), said).alias("docs"))
+    summed = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["units"]).alias("sums"), d["groups"].alias("groups")))
+    return rows.join(by_block, "block", "left").select(F.inline(summed)).select("doc_id", "n_a", "n_b", "sums.*", "groups")
 
 
 def op13_alignment(spark, sf_dir: str) -> DataFrame:
-    found = align(common.documents(spark, sf_dir), default_tokenizer("byte_bpe_50k.json"), default_tokenizer("piece_bpe_32k.model"))
-    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+    digest = lambda text: F.when(text == "", "").otherwise(F.sha2(text, 256))
+    found = align(common.documents(spark, sf_dir), default_tokenizer("byte_bpe_50k.json"), default_tokenizer("piece_bpe_32k.model"), digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
