@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import facts, hygiene, summary
 from ..functions import signals as sg
 from ..functions.text import sentences
-from . import leaders, similarity
+from . import leaders, repair, similarity
 
 
 def informed(rows: DataFrame, sentence: str = "sentence") -> DataFrame:
@@ -118,11 +118,19 @@ def verdict(chosen: DataFrame, key: str, headline: DataFrame, source: DataFrame
     return body.select(key, reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+def mended(items: DataFrame, rows: DataFrame, group: str, headline: Column) -> DataFrame:
+    """Rows (group, pos, sentence, ...) of items without damage and without what is of another story; pos is a struct then, with the piece of the row. All items' sentences are evidence."""
+    said = items.select(group, F.explode(sentences(sg.whole(F.col("summary")))).alias("s")).select(group, hygiene.clean_sentence_text(F.col("s")).alias("sentence"))
+    heads = items.groupBy(group).agg(F.min_by(headline, "rank").alias("headline"))
+    whole = repair.repaired(leaders.cut(rows), group, heads, said)
+    return leaders.cut(repair.related(whole, group, heads).withColumn("pos", F.struct("pos", "piece")).drop("piece"))
+
+
 def briefing(items: DataFrame, group: str, headline: Column, most: int = 4) -> DataFrame:
     """A group's account: (group, opening: two sentences, body: the rest, bullets, sources). items as for aggregated(), with article (the summary is an article's own)."""
     rows = aggregated(items, group, headline)
     marked = rows.join(items.select(group, "rank", "article"), (rows[group] == items[group]) & (rows["seq.rank"] == items["rank"])).select(rows[group], F.col("seq").alias("pos"), "sentence", "article", "source")
-    marked = leaders.cut(marked)
+    marked = mended(items, marked, group, headline)
     placed = leaders.cut(in_order(select_rows(marked, group, most), group))
     account = placed.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("s"))  # at most `most` sentences
     text = F.transform("s", lambda x: x.sentence)
