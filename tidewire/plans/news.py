@@ -11,7 +11,7 @@ from ..functions import facts
 from ..functions import hygiene as hy
 from ..functions import signals as sg
 from ..functions import text as tx
-from ..operators import audit, leaders, narrative, ranking, repair, same_event, state
+from ..operators import audit, event_state, leaders, narrative, ranking, repair, same_event, state
 from ..sources import feeds
 from ..sources.tables import stories, table, with_times
 from ..streaming import event_memory, publisher
@@ -382,3 +382,27 @@ def repaired_rows(spark: SparkSession, d: str) -> DataFrame:
     rows, heads = _damaged(spark, d)
     whole = repair.repaired(rows, "conv_id", heads, rows.select("conv_id", "sentence"), SEAM_WORDS)
     return repair.related(whole, "conv_id", heads).select("conv_id", "turn", "n", "piece", "role", "sentence")
+
+
+# ---------------------------------------------------------------- the stored table of events
+
+
+@query(r"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, turn AS seq, lpad(CAST(turn AS VARCHAR), 6, '0') AS moment, left(text, 40) AS title, text AS summary, role AS source, CASE turn % 3 WHEN 1 THEN 'world' WHEN 2 THEN 'local' END AS category,
+  CAST(coalesce(length(text), 0) // 40 % 31 AS DOUBLE) AS strength, turn % 4 = 0 AS dev, CASE WHEN turn % 5 = 3 THEN 1 ELSE 0 END AS major, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS queued FROM conversations),
+ b AS (SELECT event_id, list_reduce(list({'title': title, 'summary': summary, 'strength': strength} ORDER BY seq), lambda b, x: CASE WHEN x.strength >= b.strength + 2 THEN x ELSE b END) AS b FROM t GROUP BY 1),
+ e AS (SELECT event_id, list_sort(list_distinct(flatten(list(regexp_extract_all(coalesce(summary, ''), '[A-Z][a-z]{4,}'))))) AS e FROM t GROUP BY 1),
+ s AS (SELECT event_id, list(source ORDER BY seq) AS s FROM (SELECT event_id, source, min(seq) AS seq FROM t WHERE source <> '' GROUP BY 1, 2) GROUP BY 1)
+ SELECT event_id, b.title AS canonical_title, coalesce(b.summary, '') AS canonical_summary, max_by(category, seq) FILTER (category IS NOT NULL) AS category, min_by(moment, seq) AS first_seen, max(moment) AS last_seen, CAST(max(major) AS BIGINT) AS major, CAST(sum(queued) AS BIGINT) AS queued_count,
+  max_by(moment, seq) FILTER (dev) AS last_development, CAST(to_json(any_value(e)) AS VARCHAR) AS entities, coalesce(CAST(to_json(any_value(s)) AS VARCHAR), '[]') AS related_sources FROM t JOIN b USING (event_id) JOIN e USING (event_id) LEFT JOIN s USING (event_id) GROUP BY event_id, b""")
+def event_table(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as events, turns as their reports: rows of the stored table, by the rules of all its fields; its state is JSON of the same and left out here."""
+    text, turn = F.col("text"), F.col("turn")
+    none = F.array().cast("array<string>")
+    reports = table(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("event_id"), turn.alias("seq"), F.lpad(turn.cast("string"), 6, "0").alias("at"), F.left(text, F.lit(40)).alias("title"), text.alias("summary"), F.col("role").alias("source"),
+        F.when(turn % 3 == 1, "world").when(turn % 3 == 2, "local").alias("category"), (F.floor(F.coalesce(F.length(text), F.lit(0)) / 40) % 31).cast("double").alias("strength"), (turn % 4 == 0).alias("development"),
+        F.when(turn % 5 == 3, 1).otherwise(0).alias("major"), F.when(F.col("role") == "user", 1).otherwise(0).alias("queued"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Z][a-z]{4,})"), F.lit(1)).alias("entities"),
+        *(F.lit(None).cast("string").alias(c) for c in ("sector", "subsector", "region", "subregion", "country", "event_time", "verification", "status")), *(none.alias(g) for g in event_state.GATHERED if g != "entities"),
+    ).withColumn("identity", F.struct("title", "entities"))
+    rows = event_state.event_rows(event_state.event_state(reports))
+    return rows.select("event_id", "canonical_title", "canonical_summary", "category", "first_seen", "last_seen", "major", "queued_count", "last_development", "entities", "related_sources")
