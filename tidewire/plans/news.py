@@ -11,11 +11,11 @@ from ..functions import facts
 from ..functions import hygiene as hy
 from ..functions import signals as sg
 from ..functions import text as tx
-from ..operators import audit, event_state, leaders, narrative, ranking, repair, same_event, state
+from ..operators import audit, enrichment, event_state, leaders, narrative, ranking, repair, same_event, state
 from ..sources import feeds
 from ..sources.tables import stories, table, with_times
 from ..streaming import event_memory, publisher
-from .queries import _SCORE, ORACLE_SQL, QUERIES, S, _scored, query
+from .queries import _HOST, _SCORE, ORACLE_SQL, QUERIES, S, _scored, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -406,3 +406,30 @@ def event_table(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("identity", F.struct("title", "entities"))
     rows = event_state.event_rows(event_state.event_state(reports))
     return rows.select("event_id", "canonical_title", "canonical_summary", "category", "first_seen", "last_seen", "major", "queued_count", "last_development", "entities", "related_sources")
+
+
+# ---------------------------------------------------------------- thin stories and their articles
+
+_MARKED = " OR ".join(f"contains(lower(html), {_sql(m)})" for m in enrichment.PAYWALL_MARKERS)
+
+
+@query(rf"""WITH s AS (SELECT page_id AS id, url, substr(text, 61, 140) AS summary, length(text) % 100 AS score, {_HOST} AS host, string_split(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)), '/') AS path,
+  lower(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^?#]*)', 1), '/+$', '')) AS key FROM pages JOIN documents ON doc_id = page_id),
+ j AS (SELECT *, CASE WHEN score IS NULL OR score < 40 THEN 'unimportant' WHEN url IS NULL OR trim(url) = '' THEN 'no_url' WHEN len(regexp_extract_all(coalesce(summary, ''), '[.!?]')) >= 3 THEN 'full' WHEN list_has_any(path, [{', '.join(map(_sql, enrichment.NO_ARTICLE))}]) THEN 'non_article'
+  WHEN NOT coalesce(host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org' OR host LIKE '%.example.org', false) THEN 'domain_blocked' END AS known FROM s),
+ a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS n FROM j WHERE known IS NULL),
+ g AS (SELECT lower(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?([^?#]*)', 1), '/+$', '')) AS key, min_by(html, page_id) AS html FROM pages WHERE url IS NOT NULL GROUP BY 1),
+ p AS (SELECT key, html, list_filter(list_transform(string_split_regex(html, '(?i)<p(?:\s[^>]*)?>')[2:], lambda p: trim(regexp_replace(regexp_replace(regexp_replace(p, '(?is)(?:</p\s*>|</article\s*>|</body\s*>).*$', ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), lambda p: length(p) >= 40)[:12] AS said FROM g),
+ o AS (SELECT j.id, CASE WHEN known IS NOT NULL THEN known WHEN n > 15 THEN 'budget_exhausted' WHEN NOT contains(html, '<') THEN 'not_html' WHEN {_MARKED} THEN 'paywall' WHEN len(said) = 0 THEN 'no_text' WHEN len(said) < 2 THEN 'not_expanded' ELSE 'ok' END AS outcome, said FROM j LEFT JOIN a ON j.id = a.id LEFT JOIN p ON j.key = p.key)
+ SELECT id, outcome, outcome = 'ok' AS expanded, CASE WHEN outcome = 'ok' THEN array_to_string(said, ' ') END AS told FROM o""")
+def enriched_stories(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as stories whose summaries are a few words of a document: the fifteen first thin ones of two sites get the paragraphs of their pages."""
+    landed = table(spark, d, "pages")
+    text = F.col("text")
+    rows = landed.select(F.col("page_id").alias("id"), "url").join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = rows.select("id", "url", F.left(text, F.lit(60)).alias("title"), F.substring("text", 61, 140).alias("summary"), (F.length(text) % 100).alias("score"))
+    domains = spark.createDataFrame([("example.com",), ("example.org",)], "domain string")
+    few = F.regexp_count(F.coalesce("summary", F.lit("")), F.lit("[.!?]")) < 3
+    cache = spark.createDataFrame([], enrichment.CACHE)
+    out, _ = enrichment.enriched(rows, landed, cache, F.lit("2024-01-01 00:00:00"), F.desc("score"), domains=domains, important=F.col("score") >= 40, thin=few, told=enrichment.article)
+    return out.select("id", "outcome", "expanded", F.array_join("article_sentences", " ").alias("told"))
