@@ -32,3 +32,8 @@ HEADED = [(k, f"{h}\nRest of it.", "de", "a", 9) for k, h in enumerate(HEADS)] +
 def test_clean_headlines_of_letters_whose_capital_takes_several(held):
     got = dict(held("clean_headlines", "documents", DOCS, HEADED))
     assert (got[0], got[1], got[9]) == ("ẞheit kommt", "ﬁne weather", "ẞa | b")
+
+
+def test_headline_html_of_letters_whose_capital_takes_several(held):
+    got = {i: headline for i, _, headline in held("headline_html", "documents", DOCS, HEADED)}
+    assert (got[0], got[2], got[3]) == ("ẞheit kommt", "ŉ dag", "ᾼ and more")
