@@ -37,3 +37,9 @@ def test_clean_headlines_of_letters_whose_capital_takes_several(held):
 def test_headline_html_of_letters_whose_capital_takes_several(held):
     got = {i: headline for i, _, headline in held("headline_html", "documents", DOCS, HEADED)}
     assert (got[0], got[2], got[3]) == ("ẞheit kommt", "ŉ dag", "ᾼ and more")
+
+
+def test_meaningful_sentences_around_abbreviations(held):
+    texts = ["We met Dr. Smith of the town. He left at 5 p.m. on Jan. 5 of that year!", "One two three four.\x0bFive six seven eight. Nine ten eleven twelve", "U.S. troops came to town. U.S. troops came to town.", "No. Not so", ""]
+    rows = [(k, turn, "user", t) for k, t in enumerate(texts) for turn in (0, 1)] + [(9, 0, "user", None)]
+    assert dict(held("meaningful_sentence_count", "conversations", "conv_id long, turn long, role string, text string", rows))[0] == 3
