@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidewire.operators import similarity
 from tidewire.plans.news import ORACLE_SQL, QUERIES
 
 
@@ -43,3 +45,15 @@ def test_meaningful_sentences_around_abbreviations(held):
     texts = ["We met Dr. Smith of the town. He left at 5 p.m. on Jan. 5 of that year!", "One two three four.\x0bFive six seven eight. Nine ten eleven twelve", "U.S. troops came to town. U.S. troops came to town.", "No. Not so", ""]
     rows = [(k, turn, "user", t) for k, t in enumerate(texts) for turn in (0, 1)] + [(9, 0, "user", None)]
     assert dict(held("meaningful_sentence_count", "conversations", "conv_id long, turn long, role string, text string", rows))[0] == 3
+
+
+TITLES = ["red cat sat on mats", "sat on mats red cat", "red cat sat on big mats", "blue dog ran far", "red cat sat on mats", "one two", "one two", "", "Red cat, sat: on mats", "blue dog ran far off now", "red cat sat on big mats once"]
+TITLED = [(k, f"{t}\nRest of it.", "de", "abc"[k % 3] if k != 4 else None, 9) for k, t in enumerate(TITLES)]
+
+
+def test_corroboration_of_copies(held, spark):
+    held("corroboration_selfjoin", "documents", DOCS, TITLED)
+    # 30,000 copies are 900 million pairs, and one set
+    many = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"), F.lit(1).alias("tier"), F.array(*map(F.lit, "wxyz")).alias("tokens"))
+    got = similarity.corroborate(many).groupBy("corroborating", "strong", "matches").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 10_000, 20_000), (1, 1, 20_000, 10_000)]
