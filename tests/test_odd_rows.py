@@ -57,3 +57,8 @@ def test_corroboration_of_copies(held, spark):
     many = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"), F.lit(1).alias("tier"), F.array(*map(F.lit, "wxyz")).alias("tokens"))
     got = similarity.corroborate(many).groupBy("corroborating", "strong", "matches").count().collect()
     assert sorted(map(tuple, got)) == [(1, 1, 10_000, 20_000), (1, 1, 20_000, 10_000)]
+
+
+def test_near_duplicate_titles_with_copies(held):
+    got = held("near_duplicate_titles", "documents", DOCS, TITLED)
+    assert {(a, b) for a, b, _ in got} == {(0, 1), (0, 4), (0, 8), (0, 2), (2, 10)}
