@@ -62,3 +62,11 @@ def test_corroboration_of_copies(held, spark):
 def test_near_duplicate_titles_with_copies(held):
     got = held("near_duplicate_titles", "documents", DOCS, TITLED)
     assert {(a, b) for a, b, _ in got} == {(0, 1), (0, 4), (0, 8), (0, 2), (2, 10)}
+
+
+def test_leader_groups_with_copies(held, spark, tmp_path):
+    got = dict(held("leader_groups", "documents", DOCS, TITLED))
+    assert (got[8], got[9], got[10]) == (0, 9, 10)
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("Rain falls on towns.\nMore.").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).alias("n_chars"))
+    rows.write.parquet(f"{tmp_path}/many/documents.parquet")
+    assert [tuple(r) for r in QUERIES["leader_groups"](spark, f"{tmp_path}/many").groupBy("leader").count().collect()] == [(0, 30_000)]
