@@ -112,3 +112,31 @@ def test_stream_in_parts_equals_one_run(spark, tmp_path):
         assert (tmp_path / "out/decisions" / f"batch={k}").exists()
     got = spark.read.parquet(str(tmp_path / "out/decisions"))
     assert {r.id: (r.status, r.event_id) for r in got.collect()} == WANT
+
+
+def test_candidates_lose_no_match_and_common_names_pair_nothing(spark):
+    import random
+
+    rng = random.Random(7)
+    some = lambda words, most: sorted(rng.sample(words, rng.randint(0, most)))
+    vocabulary = {
+        "entities": ["iran", "un", "nato", "acme", "license"], "places": ["iran", "peru"], "actions": ["kill", "sign", "flood", "say"], "core": ["flood"], "numbers": ["5"], "impact": ["3:killed"], "storms": ["ana"], "magnitudes": ["6.1"],
+        "tokens": list("abcdef"), "title_tokens": list("abcdef"),
+    }
+    most = {"entities": 4, "places": 1, "actions": 3, "tokens": 5, "title_tokens": 4}
+    rows = [(str(k), k, rng.random() < 0.3, rng.random() < 0.3, *(some(v, most[c]) if c in most else [x for x in v if rng.random() < 0.15] for c, v in vocabulary.items())) for k in range(150)]
+    schema = "id string, seq long, dev boolean, reaction boolean, " + ", ".join(f"{c} array<string>" for c in vocabulary)
+    stories = spark.createDataFrame(rows, schema)
+    events = stories.drop("dev", "reaction").withColumnRenamed("id", "event_id")
+    words = {"weak": ["license"], "generic": ["say"], "narrow": ["sign"], "core_words": ["flood", "kill"]}
+    pair = stories.select("id", F.struct(*stories.columns).alias("s")).join(events.select("event_id", F.struct(*events.columns).alias("e")), F.col("id") != F.col("event_id"))
+    pair = pair.where(~matching.vetoed()).withColumn("sem", matching.semantic())
+    pair = pair.withColumn("reason", matching.reason(F.col("sem"), matching.score(F.col("sem")), *words.values())).where("reason is not null")
+    want = {(r.id, r.event_id, r.reason) for r in pair.select("id", "event_id", "reason").collect()}
+    got = {(r.id, r.event_id, r.reason) for r in matching.matches(stories, events, **words).collect()}
+    assert got == want and len({r for _, _, r in want}) >= 7
+    ordered = {(r.id, r.event_id, r.reason) for r in matching.matches(stories, events, order="seq", **words).collect()}
+    assert ordered == {(a, b, r) for a, b, r in want if int(b) < int(a)}
+    # 3,000 stories with one common action and a name of their own meet nowhere
+    alike = spark.range(3000).select(F.col("id").cast("string"), F.array(F.lit("un"), F.concat(F.lit("x"), "id")).alias("entities"), F.array(F.lit("die")).alias("actions"), *(F.array().cast("array<string>").alias(c) for c in ("core", "impact", "places")))
+    assert matching.candidates(alike, alike.withColumnRenamed("id", "event_id")).where("id <> event_id").isEmpty()

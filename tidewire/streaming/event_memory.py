@@ -56,10 +56,7 @@ def remember(stories: DataFrame, memory: Memory, **words: list[str]) -> tuple[Da
     stories = leaders.cut(stories)
     founding = stories.where(~F.col("discovery") | matching.identified())
     stored = leaders.cut(matching.matches(stories, memory.events, **words).drop("material"))
-    arrivals = stories.select("id", "seq")
-    earlier = matching.matches(stories, founding.select(F.col("id").alias("event_id"), *SETS), **words).drop("material")
-    earlier = earlier.join(arrivals, "id").join(arrivals.select(F.col("id").alias("event_id"), F.col("seq").alias("since")), "event_id").where("since < seq")
-    earlier = leaders.cut(earlier.drop("seq", "since"))
+    earlier = leaders.cut(matching.matches(stories, founding.select(F.col("id").alias("event_id"), "seq", *SETS), order="seq", **words).drop("material"))
 
     unmet = stories.join(stored.select("id"), "id", "left_anti").select("id")
     links = earlier.select(F.col("event_id").alias("a"), F.col("id").alias("b"))
