@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 18
+#: Ids of good documents that are broadcast at most.
+MOST_BROADCAST = 1 << 20
 FLOOR, TEMPERATURE = -0.02, 0.01
 _MARKS = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
@@ -136,18 +138,15 @@ def gumbel_top_k(weighed: DataFrame, k: int | None = None, *, share: float | Non
     return keyed.withColumn("kept", above_edge | (at_edge & (F.col("_row") <= -last))).drop("_row")
 
 
-def with_target(docs: DataFrame, labels: DataFrame, name: str, target_rows: int = 200_000) -> DataFrame:
+def with_target(docs: DataFrame, labels: DataFrame, name: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Marks documents that labels call good (quality 1, toxic not 1). A document with several labels needs all of them good.
 
-    The target is a sample of about `target_rows` good documents at most (all of them, if there are no more), so
-    their ids are a broadcast of known size and no text is shuffled.
+    All good documents are the target. Up to `most_broadcast` of their ids are broadcast, so no text is shuffled; more of them are joined by shuffle, without a sort of texts.
     """
     fine = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(fine, F.lit(False))).alias(name)).where(name)
-    n = good.count()
-    if n > target_rows:
-        good = good.where(common.unit("doc_id", seed=11) < target_rows / n)
-    return common.extra_columns(docs, name).join(F.broadcast(good), "doc_id", "left")
+    good = F.broadcast(good) if good.count() <= most_broadcast else good.hint("shuffle_hash")
+    return common.extra_columns(docs, name).join(good, "doc_id", "left")
 
 
 def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, **how: float) -> DataFrame:
