@@ -7,8 +7,8 @@ spark.task.cpus where that is more), decodes their ids, and holds what it makes
 
 A text's ids don't depend on anything beyond a unit of it: no piece of the vocabulary holds the two characters
 on either side of a unit's edge (checked when the model is read), and user-defined pieces are units. Units are cached; each distinct one
-is encoded by the tokenizers library and held against the sentencepiece library once. Besides, every text with a unit on which they
-differ, and every text whose crc32 is 0 modulo `WHOLE`, is held against the sentencepiece library as a whole.
+is encoded by the tokenizers library (and held against the sentencepiece library where `check` says so). Every text is held against the
+sentencepiece library as a whole.
 
 Defined results: a null text is encoded as an empty one (no ids); texts of any length are encoded whole; other
 columns are passed on; ids, n_tokens, decoded, lossless and parity replace ones of the same name; an empty table
@@ -38,8 +38,6 @@ SPACE = "▁"
 #: Kinds of pieces and of models in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: One text of so many is held against the sentencepiece library whole.
-WHOLE = 8
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -245,11 +243,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str, bool]]:
         """For each text: ids, what they decode to, and whether both libraries agree."""
-        coded, doubt = self.ids(texts)
-        look = [k for k, t in enumerate(texts) if doubt[k] or zlib.crc32(t.encode()) % WHOLE == 0]
-        same = [True] * len(texts)
-        for k, peer in zip(look, self.peer.encode([texts[k] for k in look], num_threads=self.threads), strict=True):
-            same[k] = coded[k].tolist() == peer
+        coded = self.ids(texts)[0]
+        same = [ids.tolist() == peer for ids, peer in zip(coded, self.peer.encode(texts, num_threads=self.threads), strict=True)]
         return list(zip(coded, self.decode(coded), same, strict=True))
 
 
@@ -266,7 +261,7 @@ def encode(docs: DataFrame, path: str, *, threads: int | None = None, keep_text:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path, threads)
+        codec = codec_of(path, threads, check=False)  # whole texts are held against the other library
         for b in batches:
             texts = common.strings(b.column("text"))
             for lo, hi in common.slices(texts):
