@@ -70,3 +70,8 @@ def test_leader_groups_with_copies(held, spark, tmp_path):
     rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("Rain falls on towns.\nMore.").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).alias("n_chars"))
     rows.write.parquet(f"{tmp_path}/many/documents.parquet")
     assert [tuple(r) for r in QUERIES["leader_groups"](spark, f"{tmp_path}/many").groupBy("leader").count().collect()] == [(0, 30_000)]
+
+
+def test_first_place_makes_its_words_once(spark):
+    found = QUERIES["first_place_mention"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
