@@ -75,3 +75,10 @@ def test_leader_groups_with_copies(held, spark, tmp_path):
 def test_first_place_makes_its_words_once(spark):
     found = QUERIES["first_place_mention"](spark, "/root/testdata/sf0.001")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_hygienic_sentences_are_cleaned_once(spark):
+    found = QUERIES["hygienic_sentences"](spark, "/root/testdata/sf0.001")
+    node = found._jdf.queryExecution().optimizedPlan()
+    assert found.columns == ["page_id", "pos", "sentence", "filler"]
+    assert not [n for n in node.toString().split("\n") if n.strip(" :+-").startswith("Filter") and n.count("regexp_replace(") > 2]

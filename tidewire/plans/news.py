@@ -58,8 +58,9 @@ def clean_headlines(spark: SparkSession, d: str) -> DataFrame:
 def hygienic_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of pages without what the page put around them, and whether they say anything; the tests hold single sentences against their clean forms."""
     rows = table(spark, d, "pages").select("page_id", F.posexplode(tx.sentences(F.regexp_replace("html", "<[^>]+>", " "))).alias("pos", "s"))
-    clean = hy.clean_sentence_text(F.col("s"))
-    return rows.select("page_id", "pos", clean.alias("sentence"), hy.filler(clean).alias("filler")).where("sentence <> ''")
+    # a row of none or one: a filter on it would go before the sentences are cleaned, and clean them again
+    made = sg.bind(hy.clean_sentence_text(F.col("s")), lambda s: F.struct(s.alias("sentence"), hy.filler(s).alias("filler")))
+    return rows.select("page_id", "pos", F.inline(F.filter(F.array(made), lambda x: x["sentence"] != "")))
 
 
 _CLAIMS = ", ".join(
