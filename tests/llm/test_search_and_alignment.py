@@ -201,3 +201,26 @@ def test_digest_of_groups(spark, tmp_path):
     got = {r.doc_id: r for r in alignment.op13_alignment(spark, str(tmp_path)).collect()}
     want = plain_alignment([(1, "some text")])[0][-1]
     assert got[1].groups_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[2].groups_sha256 == ""
+
+
+def test_units_are_measured_once_and_forgotten_ones_again(monkeypatch):
+    rng, measured = random.Random(8), []
+    real = alignment.measure
+    monkeypatch.setattr(alignment, "measure", lambda units, *more: measured.extend(units) or real(units, *more))
+    texts = [" ".join(rng.choices([f"unbelievably{k}" for k in range(40)], k=50)) for _ in range(30)]
+    want = {k: (n_a, n_b, n, n_links, text) for k, n_a, n_b, n, n_links, _, _, text in plain_alignment(list(enumerate(texts)))}
+    for most, all_once in ((1000, True), (10, False)):
+        monkeypatch.setattr(alignment, "MOST_UNITS", most)
+        aligner = alignment.Aligner(A, B)
+        measured.clear()
+        for k in range(0, 30, 2):
+            numbers, groups, pairs, counts, links, first = aligner.block(texts[k : k + 2])
+            assert list(zip(*(n.tolist() for n in numbers), groups, strict=True)) == [want[k], want[k + 1]]
+            assert len(set(pairs.tolist())) == len(pairs) and np.bincount(links).tolist() == counts.tolist() and first[-1] == counts.sum()
+        assert (len(measured) == len(set(measured))) == all_once and len(aligner.hashes) <= most + 100
+
+
+def test_a_blocks_distinct_pairs_travel_and_no_tokens(spark):
+    texts = ["some unbelievably long words " * 300] * 20
+    made = alignment.blocks(spark.createDataFrame(rows(texts), DOC).coalesce(1), A, B).collect()
+    assert sum(len(b.pairs) for b in made) < 30 < 1000 < sum(d.n_links for b in made for d in b.docs) == sum(sum(b.counts) for b in made)

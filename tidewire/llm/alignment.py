@@ -1,14 +1,12 @@
 """Alignment of two tokenizers' tokens (operator 13).
 
-Python only makes tokens: ids and byte ends of each text by a byte-level BPE of the tokenizers library (A) and by a sentencepiece model (B).
-It hands them over by blocks of texts, each distinct unit once: units are what both tokenizers keep apart (a word with the blank before it), a text is a list of its
-block's units, and a text that can't be cut is a unit. From there on everything is Spark's higher-order functions.
+Tasks make tokens with numpy, a block of texts at a time: ids of each text by a byte-level BPE of the tokenizers library (A) and by a sentencepiece model (B). A text is cut into units, which are what both
+tokenizers keep apart (a word with the blank before it); a text that can't be cut is a unit. A unit is tokenised and measured once, and remembered (up to a bound) for the worker's later blocks: its numbers of tokens,
+its groups as text, `a1,a2|b1`, and its links. The ends that both lists of tokens share cut them into groups; each stretch between two ends of either list lies in one token of A and one of B, which is a link.
 
-Units stand on end in a block. Ends that both tokenizers' lists share (array_intersect) cut them into groups; where a group's tokens lie in each list follows from sorting the list's ends together with
-the shared ones: the j-th shared end stands behind j others. A group is written as `a1,a2|b1`. What a group links depends on its ids alone, so links are built once for
-each distinct group of the corpus: byte ends by a scan that doubles its reach (aggregate over sequence), a link for each end of either list (array_union), and the tokens
-that it lies in by sorting again. Counts of id pairs, and the highest of each B id, are sums over distinct groups times how often they stand in the corpus. Numbers then come
-back to the blocks' units, and a text's are sums over its units; so no row for each token is ever shuffled.
+All of a document that needs no other is known then. How often an id pair is linked is known to the corpus alone: a block gives its distinct pairs with their numbers, and each document's links as places among
+them. Spark sums the pairs, finds the highest of each B id, and brings both numbers back to the blocks' pairs; a document's are sums over its links. So what is shuffled is a row for each distinct pair of a block,
+and none for each token, unit or group.
 
 Defined results: null and empty texts, and those whose tokens' bytes differ from space + text (a text that holds U+2581, say), have no tokens: all numbers are 0 and
 the digest is ''; rows that share a doc_id, or have none, are documents of their own; an empty table gives no rows; texts of any length are
@@ -22,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,9 @@ from .token_files import default_tokenizer
 BLOCK_BYTES = 1 << 19
 #: Pieces of text that each encoder remembers.
 CACHED = 200_000
-#: The greatest table of distinct groups that is broadcast, in rows of five numbers; a greater one is joined by shuffle.
+#: Units that a worker remembers; beyond, those go that weren't met again since the last ones went.
+MOST_UNITS = 300_000
+#: The greatest table of distinct pairs that is broadcast, in rows of three numbers; a greater one is joined by shuffle.
 MOST_BROADCAST = 1 << 20
 
 
@@ -161,57 +162,94 @@ class ByteLevelEncoder:
         return [next(found) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
 
-@functools.lru_cache(maxsize=2)
-def _encoders(byte_path: str, piece_path: str):  # noqa: ANN202
-    """One pair for each Python worker: its caches serve the worker's later tasks too. Both are smaller than a single encoder's, for a worker holds two."""
-    codec = codec_of(piece_path, 1, check=False)
-    codec.table.most = CACHED
-    return ByteLevelEncoder(byte_path, CACHED), codec, Vocabulary(piece_tokens(piece_path))
-
-
-def _lists(rows: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
-    off = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
-    return pa.array(off.astype(np.int32)), (np.concatenate(rows) if rows else np.zeros(0)).astype(np.int32)
-
-
-class Block:
-    """The texts of a block as lists of units, and each distinct unit's tokens: `units` of each text (None: no tokens), `a` and `b` the ids of each unit."""
-
-    def __init__(self, texts: list[str], byte_level: ByteLevelEncoder, codec, b_words: Vocabulary):  # noqa: ANN001
-        self.units: list[np.ndarray | None] = [None] * len(texts)
-        self.a: list[np.ndarray] = []
-        self.b: list[np.ndarray] = []
-        cut = byte_level.plain and codec.plain and codec.cuts is not None and codec.model.dummy_prefix and not codec.user
-        some = [k for k, t in enumerate(texts) if t and SPACE not in t]
-        safe = [k for k in some if cut and SAFE.fullmatch(texts[k])]
-        self._cut(texts, safe, byte_level, codec)
-        whole = sorted({*some} - {*safe})
-        for k, ids in zip(whole, codec.ids([texts[k] for k in whole])[0], strict=True):
-            self.units[k] = np.array([len(self.a)])
-            self.a.append(byte_level.whole(" " + texts[k]))
-            self.b.append(ids)
-        # a text whose tokens aren't its bytes has none
-        lossy = np.zeros(len(self.a), bool)
-        said = {int(self.units[k][0]): " " + texts[k] for k in whole}
-        for u, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
-            if u in said:
-                lossy[u] = byte_level.tokens.joined(a).tobytes() != said[u].encode() or b_words.joined(b).tobytes() != said[u].encode()
-        n = len(self.a) - len(whole)
-        lossy[:n] = ~self._same(self.a[:n], byte_level.tokens) | ~self._same(self.b[:n], b_words)
-        if lossy.any():  # units of none but such texts go
-            self.units = [None if u is None or lossy[u].any() else u for u in self.units]
-            used = np.zeros(len(self.a), bool)
-            for u in self.units:
-                if u is not None:
-                    used[u] = True
-            number = np.cumsum(used) - 1
-            self.units = [None if u is None else number[u] for u in self.units]
-            self.a, self.b = ([x for x, keep in zip(ids, used, strict=True) if keep] for ids in (self.a, self.b))
-
-    def _cut(self, texts: list[str], which: list[int], byte_level: ByteLevelEncoder, codec) -> None:  # noqa: ANN001
-        raw, off = common.utf8(pa.array([" " + texts[k] for k in which], pa.string()))
+# ---------------------------------------------------------------- units: groups and links
+
+
+class Measured(NamedTuple):
+    """Of units: how many tokens, groups and links they have, whether their tokens' bytes differ from theirs (they have no groups and links then), their groups as text, and all links on end, B's id above 32 bits of A's."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    lossy: np.ndarray
+    texts: list[str]
+    links: np.ndarray
+
+    def take(self, at: np.ndarray) -> Measured:
+        start = np.cumsum(self.n_links) - self.n_links
+        return Measured(*(x[at] for x in self[:5]), [self.texts[k] for k in at.tolist()], spread(self.links, start[at], self.n_links[at]))
+
+    def plus(self, other: Measured) -> Measured:
+        return Measured(*(x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(self, other, strict=True)))
+
+
+def spread(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] for each pair, on end."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _until(ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """0, and for each mark how many of `ends` aren't beyond it."""
+    return np.concatenate([[0], np.searchsorted(ends, marks, side="right")])
+
+
+def measure(units: list[bytes], a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_words: Vocabulary, b_words: Vocabulary) -> Measured:
+    n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
+    lossy = ~(_same(units, a_ids, a_words) & _same(units, b_ids, b_words))
+    good = np.flatnonzero(~lossy).tolist()
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(ids[k] for k in good)]).astype(np.int64) for ids in (a_ids, b_ids))
+    # good units have the same bytes on either side, so they stand on end at the same places
+    a_ends, b_ends = np.cumsum(a_words.size[a]), np.cumsum(b_words.size[b])
+    ends = np.cumsum([len(units[k]) for k in good], dtype=np.int64)
+    cuts, shared = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+    links = b[np.searchsorted(b_ends, cuts)] << 32 | a[np.searchsorted(a_ends, cuts)]
+    a_said, b_said = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    a_at, b_at = _until(a_ends, shared).tolist(), _until(b_ends, shared).tolist()
+    said = [f"{','.join(a_said[i:j])}|{','.join(b_said[k:m])}" for i, j, k, m in zip(a_at[:-1], a_at[1:], b_at[:-1], b_at[1:], strict=True)]
+    group_at, texts = _until(shared, ends), [""] * len(units)
+    for k, lo, hi in zip(good, group_at[:-1].tolist(), group_at[1:].tolist(), strict=True):
+        texts[k] = said[lo] if hi == lo + 1 else ";".join(said[lo:hi])
+    n_groups, n_links = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+    n_groups[good], n_links[good] = np.diff(group_at), np.diff(_until(cuts, ends))
+    return Measured(n_a, n_b, n_groups, n_links, lossy, texts, links)
+
+
+def _same(units: list[bytes], ids: list[np.ndarray], words: Vocabulary) -> np.ndarray:
+    """Whether each unit's tokens have the unit's bytes."""
+    if not units:
+        return np.zeros(0, bool)
+    flat, raw = np.concatenate(ids), np.frombuffer(b"".join(units), np.uint8)
+    sizes = np.concatenate([[0], np.cumsum(words.size[flat])])[np.concatenate([[0], np.cumsum([len(x) for x in ids])])]
+    if (np.diff(sizes) == [len(x) for x in units]).all():
+        return np.diff(np.concatenate([[0], np.cumsum(words.joined(flat) != raw)])[sizes]) == 0
+    return np.array([words.joined(i).tobytes() == x for i, x in zip(ids, units, strict=True)])
+
+
+class Aligner:
+    """Both encoders of a worker, and the units that it remembers, by 64 bits of their bytes and of the cuts inside (with 300,000 held, two share them about once in 6 * 10**13 looked up)."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        self.a = ByteLevelEncoder(byte_path, CACHED)
+        self.b = codec_of(piece_path, 1, check=False)
+        self.b.table.most = CACHED  # smaller than a single encoder's: a worker holds two
+        self.a_words, self.b_words = self.a.tokens, Vocabulary(piece_tokens(piece_path))
+        self.cuts = self.a.plain and self.b.plain and self.b.cuts is not None and self.b.model.dummy_prefix and not self.b.user
+        # hashes in order, the place of each in `known`, and whether what stands there was met again
+        self.hashes, self.numbers, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known = measure([], [], [], self.a_words, self.b_words)
+
+    def _forget(self) -> None:
+        stay = self.again[self.numbers]
+        self.hashes, self.numbers = self.hashes[stay], (np.cumsum(self.again) - 1)[self.numbers[stay]]
+        self.known, self.again = self.known.take(np.flatnonzero(self.again)), np.zeros(len(self.numbers), bool)
+
+    def _units(self, texts: list[str]) -> tuple[Measured, np.ndarray, np.ndarray]:
+        """The distinct units of texts that can be cut, the numbers of all units in order, and the first of each text."""
+        raw, off = common.utf8(pa.array([" " + t for t in texts], pa.string()))
         a_start, a_end, _ = byte_level_pieces(raw, off)
-        b_start, b_end, _ = units(raw, off, codec.cuts)
+        b_start, b_end, _ = units(raw, off, self.b.cuts)
         start = np.intersect1d(a_start, b_start, assume_unique=True)
         end = np.append(start[1:], len(raw))[: len(start)]
         # equal units have equal bytes and equal cuts inside
@@ -220,187 +258,124 @@ class Block:
         value[b_start] += np.uint64(0xC2B2AE3D27D4EB4F)
         base = 0xD1342543DE82EF95
         h = common.mix(common.sums_over(value, start, end, base, pow(base, -1, 1 << 64)) + (end - start).astype(np.uint64))
-        _, one, number = np.unique(h, return_index=True, return_inverse=True)
-        first = np.searchsorted(start, off)
-        for k, lo, hi in zip(which, first[:-1], first[1:], strict=True):
-            self.units[k] = number[lo:hi]
-        self.bytes = [raw[lo:hi] for lo, hi in zip(start[one], end[one], strict=True)]
-        for into, table, s, e in ((self.a, byte_level.table, a_start, a_end), (self.b, codec.table, b_start, b_end)):
-            lo, n = np.searchsorted(s, start[one]), np.searchsorted(s, end[one]) - np.searchsorted(s, start[one])
-            ends = np.cumsum(n)
-            at = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            into += table.lookup(raw, s[at], e[at], np.concatenate([[0], ends]))[0]
-
-    def _same(self, ids: list[np.ndarray], words: Vocabulary) -> np.ndarray:
-        """Whether each unit's tokens have the unit's bytes."""
-        if not ids:
-            return np.zeros(0, bool)
-        made, want = words.joined(np.concatenate(ids)), np.concatenate(self.bytes)
-        off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        sizes = np.concatenate([[0], np.cumsum(words.size[np.concatenate(ids)])])[off]
-        same = np.diff(sizes) == [len(x) for x in self.bytes]
-        if same.all():
-            differ = np.concatenate([[0], np.cumsum(made != want)])
-            return np.diff(differ[sizes]) == 0
-        return np.array([words.joined(i).tobytes() == x.tobytes() for i, x in zip(ids, self.bytes, strict=True)])
-
-
-TOKENS = "block long, docs array<struct<row:long, doc_id:long, n_a:long, n_b:long, units:array<int>>>, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, unit_ends array<int>"
-
-
-def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """A row for each block: its texts as lists of units (numbers from 0), and of all distinct units on end: ids, byte ends of tokens, byte ends of units."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_level, codec, b_words = _encoders(byte_path, piece_path)
-        for b in batches:
-            texts = common.strings(b.column("text"))
-            for lo, hi in common.slices(texts, BLOCK_BYTES):
-                block = Block(texts[lo:hi].to_pylist(), byte_level, codec, b_words)
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                cols = []
-                for ids, words in ((block.a, byte_level.tokens), (block.b, b_words)):
-                    off, flat = _lists(ids)
-                    ends = np.cumsum(words.size[flat]).astype(np.int32)
-                    cols += [one(pa.array(flat)), one(pa.array(ends))]
-                unit_ends = ends[off.to_numpy()[1:] - 1]  # no unit is without tokens
-                size = [np.array([len(x) for x in ids], np.int64) for ids in (block.a, block.b)]
-                own = [np.zeros(0, np.int64) if u is None else u for u in block.units]
-                off, flat = _lists(own)
-                n = [pa.array([int(s[u].sum()) for u in own], pa.int64()) for s in size]
-                rows = pa.StructArray.from_arrays([b.column("row")[lo:hi], b.column("doc_id")[lo:hi], *n, pa.ListArray.from_arrays(off, pa.array(flat))], ["row", "doc_id", "n_a", "n_b", "units"])
-                yield pa.RecordBatch.from_arrays([b.column("row")[lo : lo + 1], one(rows), *cols, one(pa.array(unit_ends))], ["block", "docs", "a_ids", "a_ends", "b_ids", "b_ends", "unit_ends"])
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(common.lean(run, every=2), TOKENS)
-
-
-# ---------------------------------------------------------------- groups and links, in Spark
-
-
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _places(ordered: Column, chosen: Callable[[Column], Column], more: int) -> Column:
-    """For the k-th place of a list that is chosen, how many unchosen ones stand before it, plus `more`."""
-    some = F.slice(F.sequence(F.lit(0), F.size(ordered)), F.lit(1), F.size(ordered))
-    return F.transform(F.filter(some, chosen), lambda p, k: p - k + more)
-
-
-def counts_until(ends: Column, shared: Column) -> Column:
-    """For each shared end, how many of `ends` aren't beyond it."""
-    return bound(F.sort_array(F.concat(ends, shared)), lambda s: _places(s, lambda p: F.get(s, p) == F.get(s, p + 1), 1))
-
-
-def _from_zero(counts: Column) -> Column:
-    return F.concat(F.array(F.lit(0)), counts)
-
-
-def _group_text(j: Column) -> Column:
-    """The j-th group: a_until and b_until hold how many tokens stand before each group, and the end."""
-
-    def side(ids: str, until: str) -> Column:
-        before = F.get(F.col(until), j)
-        n = F.get(F.col(until), j + 1) - before
-        return F.when(n == 1, F.get(F.col(ids), before).cast("string")).otherwise(F.array_join(F.slice(F.col(ids), before + 1, n).cast("array<string>"), ","))
-
-    return F.concat(side("a_ids", "a_until"), F.lit("|"), side("b_ids", "b_until"))
-
-
-def _counts(docs: Column) -> Column:
-    """How often each unit stands in a block's texts; each does once at least, so the j-th number is that of unit j."""
-    every = F.sort_array(F.flatten(F.transform(docs, lambda d: d["units"])))
+        distinct, one, number = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > MOST_UNITS:
+            self._forget()
+        at = np.searchsorted(self.hashes, distinct)
+        there = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        self.again[self.numbers[at[there]]] = True
+        if not there.all():
+            new, at = one[~there], at[~there]
+            made = []
+            for table, s, e in ((self.a.table, a_start, a_end), (self.b.table, b_start, b_end)):
+                lo = np.searchsorted(s, start[new])
+                n = np.searchsorted(s, end[new]) - lo
+                which = spread(np.arange(len(s)), lo, n)
+                made.append(table.lookup(raw, s[which], e[which], np.concatenate([[0], np.cumsum(n)]))[0])
+            learned = measure([raw[lo:hi].tobytes() for lo, hi in zip(start[new].tolist(), end[new].tolist(), strict=True)], *made, self.a_words, self.b_words)
+            self.numbers = np.insert(self.numbers, at, len(self.known.texts) + np.arange(len(new)))
+            self.hashes, self.known, self.again = np.insert(self.hashes, at, distinct[~there]), self.known.plus(learned), np.append(self.again, np.zeros(len(new), bool))
+        return self.known.take(self.numbers[np.searchsorted(self.hashes, distinct)]), number, np.searchsorted(start, off)
+
+    def block(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text n_a, n_b, n_groups and n_links (four arrays), and its groups; the block's distinct pairs, the most frequent first, and how often each stands; links as places among them, and each text's first."""
+        some = [k for k, t in enumerate(texts) if t and SPACE not in t]
+        safe = [k for k in some if self.cuts and SAFE.fullmatch(texts[k])]
+        found, number, first = self._units([texts[k] for k in safe])
+        of = [np.zeros(0, np.int64)] * len(texts)
+        for k, lo, hi in zip(safe, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            of[k] = number[lo:hi]
+        if whole := sorted({*some} - {*safe}):
+            for n, k in enumerate(whole, len(found.texts)):
+                of[k] = np.array([n])
+            said = [texts[k] for k in whole]
+            found = found.plus(measure([(" " + t).encode() for t in said], [self.a.whole(" " + t) for t in said], self.b.ids(said)[0], self.a_words, self.b_words))
+        if found.lossy.any():  # such a text has no tokens
+            of = [u[:0] if found.lossy[u].any() else u for u in of]
+        flat = np.concatenate([np.zeros(0, np.int64), *of])
+        at = np.concatenate([[0], np.cumsum([len(u) for u in of], dtype=np.int64)])
+        sums = [np.concatenate([[0], np.cumsum(x[flat])])[at] for x in found[:4]]
+        pairs, place = np.unique(found.links, return_inverse=True)
+        links = spread(place, (np.cumsum(found.n_links) - found.n_links)[flat], found.n_links[flat])
+        count = np.bincount(links, minlength=len(pairs))
+        order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        rank = np.zeros(len(pairs), np.int32)
+        rank[order] = np.arange(len(order))
+        groups = [";".join([found.texts[k] for k in u.tolist()]) for u in of]
+        return [np.diff(x) for x in sums], groups, pairs[order], count[order], rank[links], sums[3]
 
-    def ends(s: Column) -> Column:
-        some = F.slice(F.sequence(F.lit(0), F.size(s)), F.lit(1), F.size(s))
-        return F.concat(F.array(F.lit(-1)), F.filter(some, lambda p: F.coalesce(F.get(s, p) != F.get(s, p + 1), F.lit(True))))
 
-    return bound(bound(every, ends), lambda last: F.transform(F.slice(last, F.lit(2), F.size(last)), lambda p, j: p - F.get(last, j)))
+@functools.lru_cache(maxsize=2)
+def _aligner(byte_path: str, piece_path: str) -> Aligner:
+    """One for each Python worker: what it remembers serves the worker's later tasks too."""
+    return Aligner(byte_path, piece_path)
 
 
-def groups(made: DataFrame) -> DataFrame:
-    """(block, docs, groups, counts): for each unit of a block its groups, and how often it stands in the block's texts."""
-    shared = made.withColumn("shared", F.array_intersect("a_ends", "b_ends"))
-    until = {f"{x}_until": _from_zero(counts_until(F.col(f"{x}_ends"), F.col("shared"))) for x in "ab"} | {"group_until": _from_zero(counts_until(F.col("shared"), F.col("unit_ends")))}
-    of_unit = bound(
-        F.transform("shared", lambda _, j: _group_text(j)),
-        lambda texts: F.transform("unit_ends", lambda _, u: F.slice(texts, F.get("group_until", u) + 1, F.get("group_until", u + 1) - F.get("group_until", u))),
-    )
-    return shared.withColumns(until).select("block", "docs", of_unit.alias("groups"), _counts(F.col("docs")).alias("counts"))
+BLOCKS = "block long, docs array<struct<doc_id:long, n_a:long, n_b:long, n_groups:long, n_links:long, groups:string>>, links binary, first array<long>, pairs array<long>, counts array<long>"
 
 
-def running(sizes: Column) -> Column:
-    """Running sums of a list: each round adds what stands twice as far back as in the round before."""
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sizes).cast("double"))).cast("int"))
+def blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+    """A row for each block: its documents, their links on end as places among the block's distinct pairs (unsigned numbers of two bytes, or of four where there are more pairs), each document's first link (and the end), and how often each pair stands in the block."""
 
-    def step(acc: Column, r: Column) -> Column:
-        return F.transform(acc, lambda x, i: x + F.when(i >= F.pow(F.lit(2), r).cast("int"), F.get(acc, i - F.pow(F.lit(2), r).cast("int"))).otherwise(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(byte_path, piece_path)
+        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
+        for b in batches:
+            texts = common.strings(b.column("text"))
+            for lo, hi in common.slices(texts, BLOCK_BYTES):
+                numbers, groups, pairs, counts, links, first = aligner.block(texts[lo:hi].to_pylist())
+                rows = [b.column("doc_id")[lo:hi], *(pa.array(x, pa.int64()) for x in numbers), pa.array(groups, pa.string())]
+                rows = pa.StructArray.from_arrays(rows, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"])
+                links = links.astype("<u2" if len(pairs) <= 1 << 16 else "<u4")
+                cols = [one(rows, None), pa.array([links.tobytes()], pa.binary()), *(one(x, pa.int64()) for x in (first, pairs, counts))]
+                yield pa.RecordBatch.from_arrays([b.column("row")[lo : lo + 1], *cols], ["block", "docs", "links", "first", "pairs", "counts"])
 
-    return F.aggregate(rounds, sizes, step)
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return keyed.mapInArrow(common.lean(run, every=2), BLOCKS)
 
 
-def _token_of(cuts: Column, ends: Column) -> Column:
-    """For each cut, the number (from 0) of the token whose bytes end there or beyond."""
-    both = F.sort_array(F.concat(F.transform(cuts, lambda e: e * 2), F.transform(ends, lambda e: e * 2 + 1)))
-    return bound(both, lambda s: _places(s, lambda p: F.get(s, p) % 2 == 0, 0))
+# ---------------------------------------------------------------- counts of the corpus, in Spark
 
 
-def links_of(kinds: DataFrame, a_sizes: Column, b_sizes: Column) -> DataFrame:
-    """Adds links: array of (a, b), the ids of each two tokens of a group whose bytes overlap."""
+SUMS = ("n_best", "count_sum")
 
-    def ids(side: int) -> Column:
-        return F.split(F.get(F.split("group", r"\|"), F.lit(side)), ",").cast("array<int>")
 
-    parsed = kinds.withColumns({"a_ids": ids(0), "b_ids": ids(1)})
-    sized = parsed.withColumns({"a_sizes": F.transform("a_ids", lambda x: F.get(a_sizes, x)), "b_sizes": F.transform("b_ids", lambda x: F.get(b_sizes, x))})
-    ends = sized.withColumns({"a_ends": running(F.col("a_sizes")), "b_ends": running(F.col("b_sizes"))})
-    cuts = ends.withColumn("cuts", F.sort_array(F.array_union("a_ends", "b_ends")))
-    at = cuts.withColumns({"a_at": _token_of(F.col("cuts"), F.col("a_ends")), "b_at": _token_of(F.col("cuts"), F.col("b_ends"))})
-    link = F.transform("a_at", lambda x, k: F.struct(F.get(F.col("a_ids"), x).alias("a"), F.get(F.col("b_ids"), F.get(F.col("b_at"), k)).alias("b")))
-    return at.select(*kinds.columns, link.alias("links"))
+def _totals(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups): sums over each document's links. numbers: (place, count, best) of the block's pairs, in order."""
+    names = [f.name for f in rows.schema["docs"].dataType.elementType.fields]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                docs = b.column("docs")[k].values
+                raw, first = b.column("links")[k].as_buffer(), b.column("first")[k].values.to_numpy()
+                links = np.frombuffer(raw, "<u2" if raw.size == 2 * first[-1] else "<u4")
+                cols = dict(zip(names, docs.flatten(), strict=True))
+                for name, of in zip(SUMS, ("bests", "counts"), strict=True):
+                    value = b.column(of)[k].values
+                    value = value.to_numpy() if value is not None else np.zeros(0, np.int64)  # a block without links
+                    cols[name] = pa.array(np.diff(np.concatenate([[0], np.cumsum(value[links])])[first]), pa.int64())
+                yield pa.RecordBatch.from_arrays([cols[c] for c in [*names[:-1], *SUMS, names[-1]]], [*names[:-1], *SUMS, names[-1]])
 
-def _sizes(words: list[bytes]) -> Column:
-    """A fixed list of numbers, one an id of the vocabulary."""
-    return F.split(F.lit(",".join(str(len(w)) for w in words)), ",").cast("array<int>")
+    kind = rows.schema["docs"].dataType.elementType.fields[-1].dataType.simpleString()
+    return rows.mapInArrow(common.lean(run, every=2), ", ".join([f"{c} long" for c in [*names[:-1], *SUMS]] + [f"{names[-1]} {kind}"]))
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, told: Callable[[Column], Column] = lambda text: text, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document; groups as a text, `a1,a2|b1;a3|b2,b3`, or what `told` makes of it; that is made before blocks meet their numbers, so a digest travels and not the text."""
-    found = common.written(groups(tokens(docs, byte_path, piece_path)), "groups")
-    each = found.select("block", F.inline(F.transform("groups", lambda g, u: F.struct(u.alias("unit"), F.get("counts", u).alias("n"), g.alias("of")))))
-    kinds = each.select("n", F.explode("of").alias("group")).groupBy("group").agg(F.sum("n").alias("n"))
-    linked = common.written(links_of(kinds, _sizes(byte_level_tokens(byte_path)), _sizes(piece_tokens(piece_path))), "linked")
-    pairs = linked.select("n", F.inline("links")).groupBy("a", "b").agg(F.sum("n").alias("count"))
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each document; groups as a text, `a1,a2|b1;a3|b2,b3`, or what `told` makes of it; that is made before blocks are written, so a digest travels and not the text."""
+    made = blocks(docs, byte_path, piece_path)
+    kept = F.transform("docs", lambda d: d.withField("groups", told(d["groups"])))
+    found = common.written(made.withColumn("docs", kept), "blocks")
+    each = found.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "p")).select("block", "place", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
+    pairs = each.groupBy("pair").agg(F.sum("n").alias("count"))
     # an id of B meets the ids of A at most
-    pairs = pairs.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy("b"))).cast("long"))
-    by_kind = linked.select("group", F.inline("links")).join(pairs, ["a", "b"]).groupBy("group").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-
-    sums = ["n_groups", "n_links", "n_best", "count_sum"]
-    by_kind = common.written(by_kind.select("group", F.xxhash64("group").alias("key"), F.lit(1).cast("long").alias("n_groups"), "n_links", "n_best", "count_sum"), "by-kind")
-    n, keys = by_kind.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
-    if n == keys <= most_broadcast:
-        keyed = each.select("block", "unit", F.explode(F.transform("of", lambda g: F.xxhash64(g))).alias("key"))
-        valued = keyed.join(F.broadcast(by_kind.drop("group")), "key")
-    else:
-        valued = each.select("block", "unit", F.explode("of").alias("group")).join(by_kind.drop("key"), "group")
-    by_unit = valued.groupBy("block", "unit").agg(*[F.sum(c).alias(c) for c in sums])
-    # a block's units at most, in order of their numbers
-    by_block = by_unit.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("unit", *sums))).alias("numbers"))
-
-    def total(units: Column) -> Column:
-        start = F.struct(*[F.lit(0).cast("long").alias(c) for c in sums])
-        return F.aggregate(units, start, lambda acc, u: bound(F.get("numbers", u), lambda x: F.struct(*[(acc[c] + x[c]).alias(c) for c in sums])))
-
-    def said(texts: Column) -> Column:
-        text = lambda d: F.array_join(F.transform(d["units"], lambda u: F.get(texts, u)), ";")
-        return F.transform("docs", lambda d: F.struct(*(d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "units")), bound(text(d), told).alias("groups")))
-
-    rows = found.select("block", bound(F.transform("groups", lambda g: F.array_join(g, ";")), said).alias("docs"))
-    summed = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), total(d["units"]).alias("sums"), d["groups"].alias("groups")))
-    return rows.join(by_block, "block", "left").select(F.inline(summed)).select("doc_id", "n_a", "n_b", "sums.*", "groups")
+    highest = F.max("count").over(Window.partitionBy(F.shiftright("pair", 32)))
+    pairs = common.written(pairs.select("pair", "count", (F.col("count") == highest).cast("long").alias("best")), "pairs")
+    valued = each.drop("n").join(F.broadcast(pairs) if pairs.count() <= most_broadcast else pairs, "pair")
+    # a block's distinct pairs at most, in order of their places
+    numbers = valued.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "count", "best"))).alias("numbers"))
+    rows = found.drop("pairs", "counts").join(numbers, "block", "left")
+    return _totals(rows.select("docs", "links", "first", F.col("numbers.count").alias("counts"), F.col("numbers.best").alias("bests")))
 
 
 def op13_alignment(spark, sf_dir: str) -> DataFrame:
