@@ -202,3 +202,20 @@ def test_against_sql(spark, name):
 def test_lexicons_hold_no_word_twice():
     for words in (lex.ACTIONS, lex.PLACES, lex.CORE_EVENTS, lex.NAME_STOPWORDS):
         assert len(words) - len({*words}) <= 1
+
+
+def test_strengths_ask_for_no_more_than_they_need(spark, one, tmp_path):
+    from tidewire.plans import news
+
+    text = "A380 flood kills 1,200 people in New Zealand. Troops withdraw from Chile!  Mr. Lee of the U.S. said 3a4 and 12, 5.6-magnitude quake; Storm Ana rescued\n50 homes, truce"
+    whole, some = one(sg.signals(L(text), L("Two dead")), sg.signals(L(text), L("Two dead"), fields=sg.WORTH))
+    assert {f: whole[f] for f in sg.WORTH} == some.asDict() and whole.numbers == ["1200", "12", "5.6", "50"]
+    spark.createDataFrame([(1, text, "x", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = news.story_strengths(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "title_tokens" not in plan
+
+
+def test_sentences_with_marks_at_their_edges(one):
+    texts = ["Mr. Lee met Dr.Who. He said e.g. no!  Yes?\t\nIn the U.S. it is 3.5. etc. vs. a.b.c. End", "Sept. 4. x", ". . a.  b", " \x0b A.\x0bB ", "Amr. Mr.", ""]
+    want = [["Mr. Lee met Dr.Who.", "He said e.g. no!", "Yes?", "In the U.S. it is 3.5.", "etc. vs. a.b.c. End"], ["Sept. 4. x"], [".", ".", "a.", "b"], ["A.", "B"], ["Amr.", "Mr."], []]
+    assert one(*(tx.sentences(L(t)) for t in texts)) == want

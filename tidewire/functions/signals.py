@@ -35,6 +35,23 @@ def whole(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("’"), F.lit("'"))
 
 
+def among(found: Column, lexicon: list[str] | tuple[str, ...]) -> Column:
+    """The words that a list has, each once, in their order: an array_intersect whose list isn't hashed again for each row."""
+    return F.array_distinct(F.filter(found, lambda w: w.isin(list(lexicon))))
+
+
+def holds(low: Column, parts: list[str] | tuple[str, ...]) -> Column:
+    """One of the parts stands anywhere in a text of lower case: a cheap look before a pattern that can't fit else."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(low, F.lit(p))
+    return out
+
+
+def _where(condition: Column, found: Column) -> Column:
+    return F.when(condition, found).otherwise(F.array().cast("array<string>"))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(whole(text), F.lit(r"([A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*)"), F.lit(1))
 
@@ -63,40 +80,47 @@ def names(text: Column, known: list[str] | None = None, aliases: dict[str, str]
 
 def places(text: Column, single: list[str] = lex.PLACES, phrases: dict[str, str] = lex.PLACES_OF_TWO) -> Column:
     """Known places anywhere in the text; a phrase counts as one place, and its words as none."""
-    low = F.lower(whole(text))
-    return _with_phrases(F.array_intersect(F.array_distinct(runs(text, "[a-z0-9]+")), strings(single)), low, phrases)
+    return bind(F.lower(whole(text)), lambda low: _with_phrases(among(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), single), low, phrases))
 
 
 def _with_phrases(found: Column, low: Column, phrases: dict[str, str]) -> Column:
+    """low is a bound value: each phrase looks at it."""
     hit = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), F.struct(F.lit(c).alias("name"), strings(p.split()).alias("parts"))) for p, c in phrases.items())))
     return bind(hit, lambda hs: F.array_union(F.array_except(found, F.flatten(F.transform(hs, lambda h: h.parts))), F.transform(hs, lambda h: h["name"])))
 
 
 def action_stems(text: Column) -> Column:
     """Words in lower case, each also without s, es, ed, d and ing where three letters or more stay."""
+    return _stems(words(F.lower(text)))
+
+
+def _stems(found: Column) -> Column:
     each = lambda w: F.array_compact(F.array(w, *(F.when(F.endswith(w, F.lit(e)) & (F.length(w) > len(e) + 2), F.left(w, F.length(w) - len(e))) for e in ("s", "es", "ed", "d", "ing"))))
-    return F.array_distinct(F.flatten(F.transform(words(F.lower(text)), each)))
+    return F.array_distinct(F.flatten(F.transform(found, each)))
 
 
 def actions(text: Column, lexicon: list[str] = lex.ACTIONS, groups: dict[str, str] = lex.ACTION_GROUPS) -> Column:
     """Strong event words, and for each group of which a word is there, the group's name."""
 
-
     def found(stems: Column) -> Column:
         named = F.array_compact(F.array(*(F.when(F.arrays_overlap(stems, strings(v.split())), F.lit(name)) for name, v in groups.items())))
         return F.array_union(named, F.array_intersect(stems, strings(lexicon)))
 
-    return bind(action_stems(text), found)
+    # only words with a stem in a list are stemmed
+    stems = {*lexicon, *(w for v in groups.values() for w in v.split())}
+    return bind(_stems(among(words(F.lower(text)), sorted({w + e for w in stems for e in ("", "s", "es", "ed", "d", "ing")}))), found)
 
 
 def core(found: Column, events: list[str] = lex.CORE_EVENTS, forms: dict[str, str] = lex.CORE_FORMS) -> Column:
-    return F.array_intersect(F.array_distinct(F.transform(found, lambda w: mapped(w, forms))), strings(events))
+    # a word that is no event and has no other form is never looked up
+    return among(F.transform(among(found, [*events, *forms]), lambda w: mapped(w, forms)), events)
 
 
 def political_landslide(text: Column) -> Column:
     """'landslide' within 120 characters of a word of elections."""
     about = "|".join(lex.LANDSLIDE_POLITICS)
-    return F.lower(whole(text)).rlike(rf"(?s)\blandslides?\b.{{0,119}}\b(?:{about})\b|\b(?:{about})\b.{{0,119}}\blandslides?\b")
+    near = rf"(?s)\blandslides?\b.{{0,119}}\b(?:{about})\b|\b(?:{about})\b.{{0,119}}\blandslides?\b"
+    return bind(F.lower(whole(text)), lambda low: F.contains(low, F.lit("landslide")) & low.rlike(near))
 
 
 # ---------------------------------------------------------------- numbers
@@ -112,11 +136,10 @@ def _year(number: Column) -> Column:
 
 def event_numbers(text: Column) -> Column:
     """Numbers as written, without separators; not years, and not digits within a name such as A380."""
-    # a letter right after is looked at, not taken: it may stand before the next number
-    pattern = F.lit(r"([a-zA-Z]?)(\d[\d,.]*+)(?=([a-zA-Z]?))")
-    before, number, after = (F.regexp_extract_all(whole(text), pattern, F.lit(k)) for k in (1, 2, 3))
-    alone = F.filter(F.arrays_zip(before.alias("b"), number.alias("n"), after.alias("a")), lambda z: (z.b == "") & (z.a == ""))
-    return F.array_distinct(F.filter(F.transform(alone, lambda z: _digits(z.n)), lambda n: n.try_cast("double").isNotNull() & ~_year(n)))
+    # a letter right after is looked at, not taken: it may stand before the next number; one before is taken, and tells that the number goes
+    found = F.regexp_extract_all(whole(text), F.lit(r"([a-zA-Z]?\d[\d,.]*+(?![a-zA-Z]))"), F.lit(1))
+    alone = F.filter(found, lambda n: F.left(n, F.lit(1)).between("0", "9"))
+    return F.array_distinct(F.filter(F.transform(alone, _digits), lambda n: n.try_cast("double").isNotNull() & ~_year(n)))
 
 
 def _bound(text: Column, pattern: str) -> Column:
@@ -132,13 +155,14 @@ def impact(text: Column) -> Column:
     units = "|".join([*lex.COUNTED, *lex.MEASURES, "toll"])
     spelt = "|".join(sorted(counts, key=len, reverse=True))
     digits = F.transform(_bound(text, rf"(?i)\b(\d[\d,.]*)\s*({units})\b"), lambda z: F.concat(_digits(z.n), F.lit(":"), mapped(z.u, forms)))
-    named = F.transform(_bound(text, rf"(?i)\b({spelt})\s*({'|'.join([*lex.COUNTED, 'toll'])})\b"), lambda z: F.concat(mapped(F.lower(z.n), counts), F.lit(":"), mapped(z.u, forms)))
+    pairs = lambda low: F.when(holds(low, [*lex.COUNTED, "toll"]), _bound(text, rf"(?i)\b({spelt})\s*({'|'.join([*lex.COUNTED, 'toll'])})\b")).otherwise(F.array().cast("array<struct<n:string,u:string>>"))
+    named = F.transform(bind(F.lower(whole(text)), pairs), lambda z: F.concat(mapped(F.lower(z.n), counts), F.lit(":"), mapped(z.u, forms)))
     return F.array_distinct(F.concat(F.filter(digits, lambda p: ~F.startswith(p, F.lit(":"))), named))
 
 
 def consequences(text: Column) -> Column:
     forms = {w: name for name, ws in lex.CONSEQUENCES.items() for w in ws.split()}
-    return F.array_distinct(F.transform(F.array_intersect(runs(text, "[a-z0-9]+"), strings(list(forms))), lambda w: mapped(w, forms)))
+    return F.array_distinct(F.transform(among(runs(text, "[a-z0-9]+"), list(forms)), lambda w: mapped(w, forms)))
 
 
 def magnitudes(text: Column) -> Column:
@@ -147,12 +171,13 @@ def magnitudes(text: Column) -> Column:
     number = r"(\d+(?:\.\d+)?)"
     forms = (rf"(?i)\bmagnitude\s+{number}", rf"(?i)\b{number}\s*-\s*magnitude", rf"(?i)\b{number}\s+{quake}", rf"(?i)\b{quake}\s+of\s+{number}")
     found = F.flatten(F.array(*(F.regexp_extract_all(whole(text), F.lit(f), F.lit(1)) for f in forms)))
-    return F.array_distinct(F.transform(found, lambda x: x.cast("double").cast("string")))
+    told = F.array_distinct(F.transform(found, lambda x: x.cast("double").cast("string")))
+    return bind(F.lower(whole(text)), lambda low: _where(holds(low, ("magnitude", "quake", "tremor", "temblor", "aftershock")), told))
 
 
 def storms(text: Column) -> Column:
     named = F.regexp_extract_all(whole(text), F.lit(r"(?i)\b(?:storm|typhoon|hurricane|cyclone)\s+([a-z][a-z'-]+)\b"), F.lit(1))
-    return F.array_distinct(F.transform(named, F.lower))
+    return bind(F.lower(whole(text)), lambda low: _where(holds(low, ("storm", "typhoon", "hurricane", "cyclone")), F.array_distinct(F.transform(named, F.lower))))
 
 
 def number_units(text: Column) -> Column:
@@ -181,7 +206,12 @@ def development_patterns(kinds: dict[str, list[tuple[list[str], list[str]]]] = l
 
 def developments(text: Column, kinds: dict[str, list[tuple[list[str], list[str]]]] = lex.DEVELOPMENTS) -> Column:
     """Names of the developments that the text reports."""
-    return F.array_compact(F.array(*(F.when(whole(text).rlike(p), F.lit(name)) for name, p in development_patterns(kinds).items())))
+    begins = {name: [w.rstrip("-") for ws, _ in pairs for w in ws] for name, pairs in kinds.items()}
+
+    def told(plain: Column) -> Column:
+        return bind(F.lower(plain), lambda low: F.array_compact(F.array(*(F.when(holds(low, begins[name]) & plain.rlike(p), F.lit(name)) for name, p in development_patterns(kinds).items()))))
+
+    return bind(whole(text), told)
 
 
 def reaction(text: Column) -> Column:
@@ -203,30 +233,32 @@ def content_tokens(text: Column, stopwords: list[str] = lex.TOKEN_STOPWORDS, syn
     return F.array_distinct(F.transform(bare, lambda w: F.when(w.rlike("^[0-9]+$"), w).when(w.isin(list(synonyms)), mapped(w, synonyms)).otherwise(stem_lite(w))))
 
 
-def signals(title: Column, summary: Column, noise: list[str] | None = None) -> Column:
-    """All signals of a story as one struct. noise: words that are no names, such as weekdays and offices."""
+def signals(title: Column, summary: Column, noise: list[str] | None = None, fields: tuple[str, ...] | None = None) -> Column:
+    """All signals of a story as one struct, or those of `fields`; what isn't asked isn't told. noise: words that are no names, such as weekdays and offices."""
     text = F.concat(whole(title), F.lit(" "), whole(summary))
 
     def of_text(text: Column) -> Column:
         found = F.filter(names(text), lambda w: (F.length(w) >= 2) & ~w.isin(list(noise or ["monday"])))
-        found = _with_phrases(F.array_distinct(F.transform(found, lambda w: mapped(w, lex.ALIASES))), F.lower(text), lex.PLACES_OF_TWO)
+        found = F.array_distinct(F.transform(found, lambda w: mapped(w, lex.ALIASES)))
+        found = bind(F.lower(text), lambda low: _with_phrases(found, low, lex.PLACES_OF_TWO))
         parts = F.struct(found.alias("found"), F.array_distinct(runs(text, "[a-z][a-z0-9]*")).alias("raw"), political_landslide(text).alias("political"), developments(text).alias("dev"))
-        return bind(parts, lambda p: _struct(text, title, p))
+        return bind(parts, lambda p: _struct(text, title, p, fields))
 
     return bind(text, of_text)
 
 
-def _struct(text: Column, title: Column, p: Column) -> Column:
+def _struct(text: Column, title: Column, p: Column, fields: tuple[str, ...] | None) -> Column:
     without = lambda found, *gone: F.when(p.political, F.array_except(found, strings(gone))).otherwise(found)
     acts = F.array_distinct(F.transform(actions(text), lambda a: mapped(a, {"quake": "earthquake"})))
     acts = F.array_except(acts, strings(lex.BROAD_ACTIONS))
     acts = F.array_union(acts, F.array_compact(F.array(*(F.when(F.arrays_overlap(p.raw, strings(v.split())), F.lit(name)) for name, v in lex.RUPTURE.items()))))
-    return F.struct(
-        p.found.alias("entities"), F.array_union(places(text), F.array_intersect(p.found, strings(lex.PLACES))).alias("places"), without(acts, "landslide").alias("actions"), storms(text).alias("storms"),
-        without(core(F.array_union(p.found, p.raw)), "landslide").alias("core"), event_numbers(text).alias("numbers"), consequences(text).alias("consequences"), impact(text).alias("impact"),
-        magnitudes(text).alias("magnitudes"), (F.size(p.dev) > 0).alias("dev"), p.dev.alias("dev_facts"), reaction(text).alias("reaction"), without(content_tokens(text), "landslide", "landslides").alias("tokens"),
-        without(content_tokens(title), "landslide", "landslides").alias("title_tokens"), p.political.alias("political_landslide"), text.alias("text"),
-    )
+    told = {
+        "entities": p.found, "places": F.array_union(places(text), among(p.found, lex.PLACES)), "actions": without(acts, "landslide"), "storms": storms(text),
+        "core": without(core(F.array_union(p.found, p.raw)), "landslide"), "numbers": event_numbers(text), "consequences": consequences(text), "impact": impact(text),
+        "magnitudes": magnitudes(text), "dev": F.size(p.dev) > 0, "dev_facts": p.dev, "reaction": reaction(text), "tokens": without(content_tokens(text), "landslide", "landslides"),
+        "title_tokens": without(content_tokens(title), "landslide", "landslides"), "political_landslide": p.political, "text": text,
+    }
+    return F.struct(*(told[f].alias(f) for f in fields or told))
 
 
 # ---------------------------------------------------------------- what a story is worth as a description, and what is new in it
@@ -248,6 +280,10 @@ def strength(s: Column, summary: Column, tier: Column, primary: Column, strong:
     return F.struct(*(c.alias(k) for k, c in parts.items()), F.least(F.lit(30), sum(parts.values(), F.lit(0))).alias("total"))
 
 
+#: What strength(), status() and identified() ask of a story's signals.
+WORTH = ("entities", "places", "actions", "storms", "core", "numbers", "consequences", "impact", "magnitudes", "dev", "dev_facts")
+
+
 def status(s: Column) -> Column:
     return F.when(s.dev, "developing").when(F.size(s.consequences) > 0, "ongoing").otherwise("reported")
 

@@ -173,8 +173,8 @@ def event_severity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", s.alias("s")).select("event_id", "s.magnitude", *(f"s.{n}" for n in lex.CASUALTY_WORDS), "s.crisis")
 
 
-def _signalled(spark: SparkSession, d: str) -> DataFrame:
-    return stories(spark, d).withColumn("s", sg.signals(F.col("title"), F.col("summary")))
+def _signalled(spark: SparkSession, d: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    return stories(spark, d).withColumn("s", sg.signals(F.col("title"), F.col("summary"), fields=fields))
 
 
 @query(None)
@@ -182,7 +182,7 @@ def story_strengths(spark: SparkSession, d: str) -> DataFrame:
     """How good a description of its event each story is, with the parts; the tests hold single stories against counted parts."""
     nothing = F.lit(None).cast("int")
     total = sg.strength(F.col("s"), F.col("summary"), F.col("tier"), F.col("primary_source"), nothing, nothing, nothing, F.lit(False))
-    return _signalled(spark, d).select("id", sg.status(F.col("s")).alias("status"), sg.identified(F.col("s")).alias("identified"), total.alias("x")).select("id", "status", "identified", "x.*")
+    return _signalled(spark, d, sg.WORTH).select("id", sg.status(F.col("s")).alias("status"), sg.identified(F.col("s")).alias("identified"), total.alias("x")).select("id", "status", "identified", "x.*")
 
 
 @query("""WITH s AS (SELECT o_custkey, list({'seq': o_orderkey, 'strength': CAST(floor(o_totalprice / 10000) AS BIGINT)} ORDER BY o_orderkey) AS a FROM orders GROUP BY 1),
