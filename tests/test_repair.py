@@ -160,3 +160,11 @@ def test_briefing_goes_by_way_of_repair(spark):
     got = narrative.briefing(df, "id", F.col("headline")).first()
     told = [*got.opening, *got.body]
     assert "Turtles rescued last year are in danger near Lyon." in told and "The flames reached a nature reserve." in told and not any("Atomic" in s for s in told)
+
+
+def test_rows_and_headlines_are_cut_and_cleaned_once(spark):
+    from tidewire.plans import news
+
+    for df in news._damaged(spark, "/root/testdata/sf0.001"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "regexp" not in plan

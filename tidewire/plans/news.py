@@ -372,9 +372,11 @@ SEAM_WORDS = repair.Seams(follow=["der", "die", "und", "la", "le", "de", "el", "
 def _damaged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Turns whose line breaks have swallowed the stop before them, as rows; and the first sentence of each conversation as its headline."""
     turns = table(spark, d, "conversations").where("text is not null").withColumn("text", F.regexp_replace("text", r"[.!?]\s*\n", " "))
-    rows = turns.select("conv_id", "role", F.struct("turn", F.xxhash64("text").alias("h")).alias("at"), F.posexplode(tx.sentences(sg.whole(F.col("text")))).alias("n", "s"))
-    heads = rows.groupBy("conv_id").agg(F.min_by("s", F.struct("at", "n")).alias("headline"))
-    return rows.select("conv_id", F.col("at.turn").alias("turn"), "n", "role", hy.clean_sentence_text(F.col("s")).alias("sentence")), heads
+    each = F.transform(tx.sentences(sg.whole(F.col("text"))), lambda s: F.struct(s.alias("s"), hy.clean_sentence_text(s).alias("sentence")))
+    # rows, evidence and headlines read them: they are cut and cleaned once
+    rows = leaders.cut(turns.select("conv_id", "role", F.struct("turn", F.xxhash64("text").alias("h")).alias("at"), F.posexplode(each).alias("n", "r")))
+    heads = leaders.cut(rows.groupBy("conv_id").agg(F.min_by("r.s", F.struct("at", "n")).alias("headline")))
+    return rows.select("conv_id", F.col("at.turn").alias("turn"), "n", "role", "r.sentence"), heads
 
 
 @query(None)
