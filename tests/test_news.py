@@ -219,3 +219,11 @@ def test_sentences_with_marks_at_their_edges(one):
     texts = ["Mr. Lee met Dr.Who. He said e.g. no!  Yes?\t\nIn the U.S. it is 3.5. etc. vs. a.b.c. End", "Sept. 4. x", ". . a.  b", " \x0b A.\x0bB ", "Amr. Mr.", ""]
     want = [["Mr. Lee met Dr.Who.", "He said e.g. no!", "Yes?", "In the U.S. it is 3.5.", "etc. vs. a.b.c. End"], ["Sept. 4. x"], [".", ".", "a.", "b"], ["A.", "B"], ["Amr.", "Mr."], []]
     assert one(*(tx.sentences(L(t)) for t in texts)) == want
+
+
+def test_a_filter_on_sentences_does_not_clean_them_again(spark):
+    items = spark.createDataFrame([("e", "It rained. Three people were hurt.")], "g string, summary string")
+    rows = items.select(F.explode(narrative._cleaned(F.col("summary"))).alias("sentence")).where(F.col("sentence") != "")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp" in line for line in plan.splitlines())
+    assert sorted(r.sentence for r in rows.collect()) == ["It rained.", "Three people were hurt."]

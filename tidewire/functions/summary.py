@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signals import bind
 from .text import numbers, stem, tokens
 
 STOPWORDS = ("a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "is", "are", "was", "were", "by", "with", "as", "that")
@@ -20,11 +21,11 @@ def content_stems(text: Column) -> Column:
 
 def paraphrases(sentence: Column, headline: Column) -> Column:
     """The sentence says what the headline says: half of its three stems or more are there, and it has no number of its own."""
-    own, there = content_stems(sentence), content_stems(F.coalesce(headline, F.lit("")))
-    shared = F.size(F.array_intersect(own, there))
+    there = content_stems(F.coalesce(headline, F.lit("")))
     same = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")) == F.trim(F.regexp_replace(F.lower(headline), "[^a-z0-9]+", " "))
     fresh = F.size(F.array_except(numbers(sentence), numbers(F.coalesce(headline, F.lit(""))))) > 0
-    return F.coalesce(same, F.lit(False)) | ((F.size(own) >= 3) & (2 * shared >= F.size(own)) & ~fresh)
+    near = bind(content_stems(sentence), lambda own: (F.size(own) >= 3) & (2 * F.size(F.array_intersect(own, there)) >= F.size(own)))
+    return F.coalesce(same, F.lit(False)) | (near & ~fresh)
 
 
 def verified(sentence: Column, source: Column) -> Column:

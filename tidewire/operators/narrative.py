@@ -50,14 +50,18 @@ def in_order(chosen: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order) - 1).drop("_b", "_none", "_first")
 
 
+def _cleaned(text: Column) -> Column:
+    """A text's sentences, each cleaned; filters on rows made of them don't clean them again."""
+    return F.transform(sentences(sg.whole(text)), hygiene.clean_sentence_text)
+
+
 def aggregated(items: DataFrame, group: str, headline: Column) -> DataFrame:
     """The sentences of a group's items, (group, seq, source, sentence), without what an earlier one says, nearly says or contradicts.
 
     items: group, rank (order within the group, no ties), source, summary. Cleaned sentences; fillers and paraphrases of the headline go. A sentence stays if no earlier one
     that stays has the same tokens by 0.8, or another number for one of its units while sharing two words.
     """
-    rows = items.withColumn("_h", headline).select(group, "rank", "source", "_h", F.posexplode(sentences(sg.whole(F.col("summary")))).alias("pos", "s"))
-    rows = rows.withColumn("sentence", hygiene.clean_sentence_text(F.col("s"))).where(F.col("sentence") != "")
+    rows = items.withColumn("_h", headline).select(group, "rank", "source", "_h", F.posexplode(_cleaned(F.col("summary"))).alias("pos", "sentence")).where(F.col("sentence") != "")
     rows = rows.where(~hygiene.filler(F.col("sentence")) & ~F.coalesce(summary.paraphrases(F.col("sentence"), F.col("_h")), F.lit(False)))
     rows = rows.groupBy(group, hygiene.normalised(F.col("sentence")).alias("norm")).agg(F.min(F.struct("rank", "pos", "source", "sentence")).alias("r")).select(group, "r.*")
     rows = leaders.cut(rows.withColumn("_sid", F.xxhash64(group, "rank", "pos")))
@@ -120,14 +124,15 @@ def verdict(chosen: DataFrame, key: str, headline: DataFrame, source: DataFrame
 
 def mended(items: DataFrame, rows: DataFrame, group: str, headline: Column) -> DataFrame:
     """Rows (group, pos, sentence, ...) of items without damage and without what is of another story; pos is a struct then, with the piece of the row. All items' sentences are evidence."""
-    said = items.select(group, F.explode(sentences(sg.whole(F.col("summary")))).alias("s")).select(group, hygiene.clean_sentence_text(F.col("s")).alias("sentence"))
-    heads = items.groupBy(group).agg(F.min_by(headline, "rank").alias("headline"))
+    said = items.select(group, F.explode(_cleaned(F.col("summary"))).alias("sentence"))
+    heads = leaders.cut(items.groupBy(group).agg(F.min_by(headline, "rank").alias("headline")))
     whole = repair.repaired(leaders.cut(rows), group, heads, said)
     return leaders.cut(repair.related(whole, group, heads).withColumn("pos", F.struct("pos", "piece")).drop("piece"))
 
 
 def briefing(items: DataFrame, group: str, headline: Column, most: int = 4) -> DataFrame:
     """A group's account: (group, opening: two sentences, body: the rest, bullets, sources). items as for aggregated(), with article (the summary is an article's own)."""
+    items = leaders.cut(items)  # six steps read them
     rows = aggregated(items, group, headline)
     marked = rows.join(items.select(group, "rank", "article"), (rows[group] == items[group]) & (rows["seq.rank"] == items["rank"])).select(rows[group], F.col("seq").alias("pos"), "sentence", "article", "source")
     marked = mended(items, marked, group, headline)
