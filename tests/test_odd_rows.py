@@ -1,5 +1,7 @@
 """Queries on odd rows of small tables, held against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,16 @@ def test_hygienic_sentences_are_cleaned_once(spark):
     node = found._jdf.queryExecution().optimizedPlan()
     assert found.columns == ["page_id", "pos", "sentence", "filler"]
     assert not [n for n in node.toString().split("\n") if n.strip(" :+-").startswith("Filter") and n.count("regexp_replace(") > 2]
+
+
+def test_alike_pairs_are_told_where_they_meet(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = [(k, sorted(rng.sample("abcdefghijkl", rng.randint(1, 7))), k % 3) for k in range(70)]
+    monkeypatch.setattr(similarity, "_DEALT", 5, raising=False)
+    found = similarity.similar_pairs(spark.createDataFrame(sets, "id long, tokens array<string>, x int"), 0.38, extra=("x",))
+    jac = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = sorted((a, b, jac(s, t), x, y) for a, s, x in sets for b, t, y in sets if a < b and jac(s, t) >= 0.38)
+    assert sorted((r.a, r.b, r.similarity, r.a_x, r.b_x) for r in found.collect()) == want and len(want) > 100
+    # the last join is the one by token: pairs are shuffled to no further one
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert "token" in next(line for line in plan if "Join" in line)
